@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, jaccard, linededup, mixing, quality
+from . import chat, decontam, embdedup, jaccard, licenses, linededup, mixing, pii, quality, tokencount
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,10 +20,23 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(docs, quality.train(docs, _t(spark, sf_dir, "labels")))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(_t(spark, sf_dir, "documents"))
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_t(spark, sf_dir, "documents"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(_t(spark, sf_dir, "documents"))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _t(spark, sf_dir, "documents")
+    return tokencount.edited_counts(docs, tokencount.house_edits(docs))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "benchmark"))
 
@@ -32,6 +45,14 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_join(_t(spark, sf_dir, "documents"))
 
 
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(_t(spark, sf_dir, "conversations"))
+
+
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embdedup.dedup_embeddings(_t(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
@@ -40,7 +61,7 @@ _WORDS = r"list_filter(string_split_regex(lower({}), '[^\p{{L}}\p{{N}}]+'), lamb
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1, "op4_source_mixing": OP4, "op7_decontamination": OP7, "op8_ngram_jaccard_join": OP8}
+    return {"op1_line_dedup": OP1, "op3_license_scan": OP3, "op4_source_mixing": OP4, "op7_decontamination": OP7, "op8_ngram_jaccard_join": OP8, "op10_embedding_dedup": OP10}
 
 
 OP1 = """
@@ -57,6 +78,24 @@ SELECT d.doc_id, CASE WHEN n IS NULL THEN text ELSE
 FROM d LEFT JOIN g USING (doc_id)
 """
 
+_QUOTED = ", ".join("({}, '{}', '{}')".format(k, n.replace("'", "''"), t.replace("'", "''")) for k, (n, t) in enumerate(licenses.TEMPLATES))
+_GRAMS = "list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])"
+
+OP3 = f"""
+WITH tw AS (SELECT k, license, {_WORDS.format("text")} AS ws FROM (VALUES {_QUOTED}) AS v(k, license, text)),
+t AS (SELECT k, license, len(ws) - 1 AS width, len(list_distinct({_GRAMS})) AS n, unnest(list_distinct({_GRAMS})) AS g FROM tw),
+dw AS (SELECT doc_id, {_WORDS.format("text")} AS ws FROM documents),
+b AS (SELECT doc_id, len(ws) - 1 AS size, i - 1 AS p, ws[i] || ' ' || ws[i + 1] AS g FROM dw, unnest(range(1, len(ws))) AS u(i)),
+h AS (SELECT doc_id, k, license, width, n, p, g, size FROM b JOIN t USING (g) WHERE size >= width),
+c AS (SELECT doc_id, k, license, width, s, count(DISTINCT g) / n::DOUBLE AS containment
+      FROM h, unnest(range(greatest(0, p - width + 1), least(p, size - width) + 1)) AS u(s) GROUP BY doc_id, k, license, width, n, s
+      HAVING count(DISTINCT g) / n::DOUBLE >= {licenses.CONTAINMENT} - 1e-12),
+i AS (SELECT *, CASE WHEN s - lag(s) OVER (PARTITION BY doc_id, k ORDER BY s) < width + 1 THEN 0 ELSE 1 END AS new FROM c),
+r AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, k ORDER BY s) AS region FROM i),
+x AS (SELECT *, row_number() OVER (PARTITION BY doc_id, k, region ORDER BY containment DESC, s) AS rn FROM r)
+SELECT doc_id, license, CAST(s AS BIGINT) AS word_start, CAST(width + 1 AS BIGINT) AS n_words, containment FROM x WHERE rn = 1
+"""
+
 OP4 = f"""
 WITH z AS (SELECT source, sum(length(text))::DOUBLE AS size FROM documents GROUP BY source),
 w AS (SELECT source, size, pow(size, {mixing.TEMPERATURE}) AS w FROM z WHERE size > 0),
@@ -88,3 +127,10 @@ o AS (SELECT a.doc_id, b.doc_id AS other_id, a.n AS n1, b.n AS n2, count(*) AS c
 SELECT doc_id, other_id, c / (n1 + n2 - c)::DOUBLE AS jaccard FROM o WHERE c / (n1 + n2 - c)::DOUBLE >= {jaccard.THRESHOLD} - 1e-12
 UNION ALL SELECT f.doc_id, g.doc_id, 1.0 FROM g JOIN f ON g.gs = f.gs WHERE g.doc_id > f.doc_id
 """
+
+OP10 = f"""
+WITH RECURSIVE p AS (SELECT a.vec_id AS x, b.vec_id AS y FROM embeddings a JOIN embeddings b
+  ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.embedding, b.embedding) >= {embdedup.THRESHOLD}),
+r(v, m) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.v, p.y FROM r JOIN p ON r.m = p.x)
+SELECT v AS vec_id, min(m) AS representative, min(m) = v AS kept FROM r GROUP BY v
+"""
