@@ -1,16 +1,18 @@
 """Near-duplicate join by Jaccard similarity of word n-gram sets, over token-combination prefixes.
 
 Tokens are hashed word n-grams; the global order puts rare tokens first, by hash, then frequent ones, by hash. Let a document have
-r rare tokens of n, and let p = n - ceil(t n) + 1 be its prefix length at threshold t.
-
-* A pair with similarity t or more shares a token within both prefixes. If that token is rare it is found by the first min(r, p)
-  tokens, indexed singly.
-* Otherwise both prefixes reach into the frequent tokens (r < p), hence hold all the rare ones, and if the two share no rare token, all
-  their common tokens - at least t/(1+t) (n1 + n2) of them - are frequent. Their prefixes are extended over all
-  frequent tokens. Along the common tokens the gaps in both orders add up to n1 + n2 - 2 at most, so for t > 1/2 and all but
-  tiny sets two successive common tokens stand next to each other in both documents: indexing combinations of k = 2
-  neighbouring frequent tokens finds the pair. (Tiny sets index the frequent tokens of their prefix singly.) Only documents
-  with r < p index combinations, so passages shared by unrelated documents make no candidates.
+r rare tokens of n, and let p = n - ceil(t n) + 1 be its prefix length at threshold t. Similar documents have an overlap of at
+least o = t/(1+t) (n1 + n2).
+
+* The first m = min(r, p) tokens are indexed singly. Of the common tokens, at most max(n1 - m1, n2 - m2) are not among those
+  that both have indexed. So a pair is a candidate if it shares o less that many indexed tokens, and one at least. (This is a
+  prefix extended to as many tokens as must be shared, for each pair by its sizes.)
+* A similar pair that shares no rare token has r < p in both, and all its common tokens are frequent. Their prefixes are extended
+  over all frequent tokens. Each token that only one of them has parts two successive common tokens at most, so
+  3 o - 1 - (f1 + f2) or more combinations of k = 2 neighbouring frequent tokens are in both, f being the frequent tokens of
+  each: one at least for t > 1/2 and all but tiny sets. So combinations are indexed, but for those that a
+  document may leave out: the most frequent ones, fewer than any partner must share with it. (Tiny sets index the frequent tokens
+  of their prefix singly.) Only documents with r < p index combinations, so passages shared by unrelated documents make no candidates.
 
 Both parts are exact: no list is capped. Candidates are verified on whole sets."""
 
@@ -29,12 +31,14 @@ from .util import cut_lineage, fresh, id_key, shuffle_width, text_of
 #: Words in a gram; least similarity.
 N, THRESHOLD = 2, 0.6
 #: Documents from which a token counts as frequent. It only moves work between the two kinds of index.
-FREQUENT = 48
+FREQUENT = 8
 #: Frequent tokens sent to each task; with more, the bound FREQUENT is doubled until they fit.
-MAX_FREQUENT = 4_000_000
+MAX_FREQUENT = 8_000_000
+#: Sets in a connected part of the candidates up to which it is verified in one place.
+LARGE_PART = 20_000
 #: Bits of the filter that keeps documents with candidates; a fuller filter only passes more documents on.
 FILTER_BITS = 1 << 27
-_40 = U((1 << 40) - 1)
+_40, _48 = U((1 << 40) - 1), U((1 << 48) - 1)
 
 
 def gram_sets(texts: list, n: int = N) -> tuple[np.ndarray, np.ndarray]:
@@ -81,6 +85,29 @@ def prefix_length(size: int, t: float) -> int:
     return size - math.ceil(t * size - 1e-9) + 1
 
 
+def pack_sorted(x: np.ndarray, width: int) -> bytes:
+    """Sorted numbers as planes of the bytes of their differences; the high planes are nearly empty and compress well."""
+    return np.ascontiguousarray(low_bytes(np.diff(x, prepend=U(0)), width).T).tobytes()
+
+
+def unpack_sorted(blob: bytes, width: int) -> np.ndarray:
+    planes = np.frombuffer(blob, np.uint8).reshape(width, -1)
+    return np.cumsum(from_bytes(np.ascontiguousarray(planes.T).ravel(), width), dtype=np.uint64)
+
+
+def pack_postings(rows: np.ndarray) -> bytes:
+    """Posting rows, ordered by token: differences of the tokens, and the other bytes, plane by plane."""
+    token = from_bytes(np.ascontiguousarray(rows[:, :6]).ravel(), 6)
+    order = np.argsort(token, kind="stable")
+    return pack_sorted(token[order], 6) + np.ascontiguousarray(rows[order, 6:].T).tobytes()
+
+
+def unpack_postings(blob: bytes, width: int) -> np.ndarray:
+    raw = np.frombuffer(blob, np.uint8).reshape(width, -1)
+    token = np.cumsum(from_bytes(np.ascontiguousarray(raw[:6].T).ravel(), 6), dtype=np.uint64)
+    return np.concatenate([low_bytes(token, 6), raw[6:].T], axis=1)
+
+
 def low_bytes(x: np.ndarray, width: int) -> np.ndarray:
     return np.ascontiguousarray(x.astype("<u8", copy=False)).view(np.uint8).reshape(-1, 8)[:, :width]
 
@@ -101,8 +128,8 @@ def _token_sets(batches, n):
 class Blobs:
     """Collects rows of bytes by range and gives them out as record batches."""
 
-    def __init__(self, ranges: int, limit: int = 24_000_000):
-        self.ranges, self.limit, self.parts, self.size = ranges, limit, [], 0
+    def __init__(self, ranges: int, limit: int = 24_000_000, pack=lambda rows: rows.tobytes()):
+        self.ranges, self.limit, self.parts, self.size, self.pack = ranges, limit, [], 0, pack
 
     def add(self, token: np.ndarray, rows: np.ndarray):
         self.parts.append((((token >> U(20)) & U((1 << 20) - 1)).astype(np.int64) * self.ranges >> 20, rows))
@@ -119,24 +146,21 @@ class Blobs:
         order = np.argsort(where, kind="stable")
         where, rows = where[order], rows[order]
         cuts = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1], [True]]))
-        yield pa.RecordBatch.from_arrays([pa.array(where[cuts[:-1]], pa.int32()), pa.array([rows[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())], names=["part", "blob"])
-
-
-def _read(table: pa.Table, name: str = "blob") -> np.ndarray:
-    return np.concatenate([np.frombuffer(x.as_buffer(), np.uint8) for x in table.column(name) if x.is_valid] or [np.zeros(0, np.uint8)])
+        yield pa.RecordBatch.from_arrays([pa.array(where[cuts[:-1]], pa.int32()), pa.array([self.pack(rows[a:b]) for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())], names=["part", "blob"])
 
 
-def frequent_tokens(texts: DataFrame, n: int, at_least: int, ranges: int) -> np.ndarray:
-    """The low 40 bits of tokens that at least so many documents have, sorted. Every token of every document is counted."""
+def frequent_tokens(texts: DataFrame, n: int, at_least: int, ranges: int) -> tuple[np.ndarray, np.ndarray]:
+    """The low 40 bits of tokens that at least so many documents have, sorted, and how many have them. Every token of every
+    document is counted."""
 
     def pack(batches):
-        blobs = Blobs(ranges)
+        blobs = Blobs(ranges, pack=lambda rows: pack_sorted(np.sort(rows), 5))
         for tokens, _ in _token_sets(batches, n):
-            yield from blobs.add(tokens, low_bytes(tokens, 5))
+            yield from blobs.add(tokens, tokens & _40)
         yield from blobs.flush()
 
     def count_table(table: pa.Table) -> pa.Table:
-        t = np.sort(from_bytes(_read(table), 5))
+        t = np.sort(np.concatenate([unpack_sorted(x.as_buffer(), 5) for x in table.column("blob")]))
         cuts = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1], [True]])) if len(t) else np.zeros(1, np.int64)
         runs = np.diff(cuts)
         big = runs >= at_least
@@ -146,19 +170,26 @@ def frequent_tokens(texts: DataFrame, n: int, at_least: int, ranges: int) -> np.
     bound = at_least
     while counted.where(F.col("docs") >= bound).count() > MAX_FREQUENT:
         bound *= 2
-    found = counted.where(F.col("docs") >= bound).select("token").toArrow().column("token").to_numpy()
-    return np.sort(found).astype(np.uint64)
+    found = counted.where(F.col("docs") >= bound).toArrow()
+    tokens, docs = found.column("token").to_numpy(), found.column("docs").to_numpy()
+    order = np.argsort(tokens)
+    return tokens[order].astype(np.uint64), docs[order]
 
 
 class Known:
     """Membership in a sorted array of 40-bit tokens, through a bitmap first."""
 
-    def __init__(self, sorted_tokens: np.ndarray):
+    def __init__(self, sorted_tokens: np.ndarray, docs: np.ndarray):
         self.tokens = sorted_tokens
+        self.heat = np.log2(np.maximum(docs, 1)).astype(np.float32)
         self.mask = U((1 << max(16, min(26, int(len(sorted_tokens) * 16).bit_length()))) - 1)
         self.bits = np.zeros(int(self.mask) + 1, dtype=bool)
         self.bits[(sorted_tokens & self.mask).astype(np.int64)] = True
 
+    def hot(self, tokens: np.ndarray) -> np.ndarray:
+        """Of tokens that are members: the logarithm of how many documents have each."""
+        return self.heat[np.searchsorted(self.tokens, tokens & _40)]
+
     def __call__(self, tokens: np.ndarray) -> np.ndarray:
         out = self.bits[(tokens & self.mask).astype(np.int64)]
         maybe = np.flatnonzero(out)
@@ -170,27 +201,32 @@ class Known:
         return out
 
 
-#: Bytes of a posting: token 6, set 8, size class 2, and for combinations the token before, 4.
-RARE, COMBO = 16, 20
-
-
-#: The token before, where there is none.
+#: Bytes of a posting: token 6, set 8, size of the set 3, indexed tokens 3; and for combinations the token before, 4.
+RARE, COMBO = 20, 24
+#: Sizes are kept up to here; a pair with a larger set is a candidate once it shares a token.
+LARGE = (1 << 24) - 1
+#: Counts as sharing enough.
+PLENTY = (1 << 24) - 1
+#: The token before, where there is none or its combination is left out.
 NONE_BEFORE = mix64(np.zeros(1, np.uint64))[0] & U(0xFFFFFFFF)
 
 
-def size_class(sizes: np.ndarray) -> np.ndarray:
-    return np.floor(np.log(np.maximum(sizes, 1)) * 64).astype(np.uint64)
-
-
 def tiny_sets(t: float) -> int:
     """Sizes up to which a pair of sets may have no two common tokens next to each other in both; these index frequent tokens singly."""
     return int((1 + t) / (2 * t - 1) + 1e-9)
 
 
+def left_out(size: int, frequent: int, t: float) -> int:
+    """Combinations that a set may leave out: one less than any similar set, at least t times as large, must share with it."""
+    a = 3 * t / (1 + t)
+    return max(0, math.ceil((a - 1) * t * size + a * size - frequent - 1 - 1e-9) - 1)
+
+
 def postings(tokens: np.ndarray, bounds: np.ndarray, known: Known, t: float):
     """(token, row) arrays of the single and of the combined index."""
-    ids, frequent, classes = set_ids(tokens, bounds), known(tokens), size_class(np.diff(bounds))
+    ids, frequent, sizes = set_ids(tokens, bounds), known(tokens), np.diff(bounds)
     single, s_owner, combo, c_before, c_owner = [], [], [], [], []
+    indexed = np.zeros(len(ids), np.int64)
     tiny = tiny_sets(t)
     for d in range(len(ids)):
         a, b = bounds[d], bounds[d + 1]
@@ -201,17 +237,27 @@ def postings(tokens: np.ndarray, bounds: np.ndarray, known: Known, t: float):
         rare = own[~f]
         p = prefix_length(int(b - a), t)
         single.append(rare[:p])
-        s_owner.append(np.full(min(p, len(rare)), d))
+        indexed[d] = len(single[-1])
+        s_owner.append(np.full(indexed[d], d))
         if len(rare) < p:
             freq = own[f]
             if len(own) <= tiny:
                 single.append(freq[: p - len(rare)])
                 s_owner.append(np.full(len(single[-1]), d))
+                indexed[d] += len(single[-1])
             if len(freq) < 2:
                 continue
             pairs = mix64(freq[:-1] * U(0xD6E8FEB86659FD93) + mix64(freq[1:] + U(1)))
+            before = np.concatenate([[U(0)], freq[: len(pairs) - 1]])
+            gone = left_out(len(own), len(freq), t) if len(own) > tiny else 0
+            if gone:
+                heat = known.hot(freq)
+                keep = np.ones(len(pairs), bool)
+                keep[np.lexsort((pairs, heat[:-1] + heat[1:]))[max(0, len(pairs) - gone) :]] = False
+                before[~np.concatenate([[True], keep[:-1]])] = U(0)
+                pairs, before = pairs[keep], before[keep]
             combo.append(pairs)
-            c_before.append(np.concatenate([[U(0)], freq[: len(pairs) - 1]]))
+            c_before.append(before)
             c_owner.append(np.full(len(pairs), d))
     out = []
     for toks, owners, before in ((single, s_owner, None), (combo, c_owner, c_before)):
@@ -219,22 +265,28 @@ def postings(tokens: np.ndarray, bounds: np.ndarray, known: Known, t: float):
             out.append(None)
             continue
         x, o = np.concatenate(toks), np.concatenate(owners)
-        cols = [low_bytes(x, 6), low_bytes(ids[o], 8), low_bytes(classes[o], 2)]
+        cols = [low_bytes(x, 6), low_bytes(ids[o], 8), low_bytes(np.minimum(sizes[o], LARGE), 3), low_bytes(np.minimum(indexed[o], LARGE), 3)]
         if before is not None:
             cols.append(low_bytes(mix64(np.concatenate(before)), 4))
         out.append((x, np.concatenate(cols, axis=1)))
     return out
 
 
-def _pair_table(keys: np.ndarray, ids: np.ndarray) -> pa.Table:
-    a, b = ids[keys >> 32], ids[keys & 0xFFFFFFFF]
-    return pa.table({"a": pa.array(a.view(np.int64)), "b": pa.array(b.view(np.int64))})
+def _summed(held: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys with their counts added up, and needs."""
+    keys, counts, needs = (np.concatenate(x) for x in zip(*held))
+    if not len(keys):
+        return keys, counts, needs
+    order = np.argsort(keys, kind="stable")
+    keys, counts, needs = keys[order], counts[order], needs[order]
+    cuts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[cuts], np.add.reduceat(counts, cuts), needs[cuts]
 
 
-def candidates_of(blob: np.ndarray, width: int, t: float, limit: int = 8_000_000) -> pa.Table:
-    """Distinct pairs of sets in the posting lists of one range. For combinations a pair is taken only where its common run
-    begins: had both the same token before, the combination before holds the pair as well."""
-    rows = blob.reshape(-1, width)
+def candidates_of(rows: np.ndarray, width: int, t: float, parts: int = 1, limit: int = 8_000_000) -> pa.Table:
+    """Distinct pairs of sets in the posting lists of one range: how many tokens of the range they share, and how many they must
+    share over all ranges. For combinations a pair is taken only where its common run begins: had both the same token
+    before, the combination before holds the pair as well; one is enough."""
     token, owner = from_bytes(np.ascontiguousarray(rows[:, :6]).ravel(), 6), from_bytes(np.ascontiguousarray(rows[:, 6:14]).ravel(), 8)
     order = np.lexsort((owner, token))
     token, owner, rows = token[order], owner[order], rows[order]
@@ -251,17 +303,34 @@ def candidates_of(blob: np.ndarray, width: int, t: float, limit: int = 8_000_000
     owner, rows = owner[keep], rows[keep]
     begin = np.cumsum(length) - length
     ids, number = np.unique(owner, return_inverse=True)
-    classes = from_bytes(np.ascontiguousarray(rows[:, 14:16]).ravel(), 2).astype(np.int32)
-    before = from_bytes(np.ascontiguousarray(rows[:, 16:20]).ravel(), 4) if width == COMBO else None
-    slack = math.ceil(64 * math.log(1 / t)) + 1
+    sizes, indexed = (from_bytes(np.ascontiguousarray(rows[:, i : i + 3]).ravel(), 3).astype(np.int64) for i in (14, 17))
+    before = from_bytes(np.ascontiguousarray(rows[:, 20:24]).ravel(), 4) if width == COMBO else None
     held, size = [], 0
 
     def take(i, j):
-        good = np.abs(classes[i] - classes[j]) <= slack
+        a, b = sizes[i], sizes[j]
+        large = np.maximum(a, b)
+        good = (np.minimum(a, b) >= t * large - 1e-9) | (large == LARGE)
         if before is not None:
             good &= (before[i] != before[j]) | (before[i] == NONE_BEFORE)
-        i, j = number[i[good]], number[j[good]]
-        return np.unique((np.minimum(i, j).astype(np.int64) << 32) | np.maximum(i, j))
+        i, j = i[good], j[good]
+        a, b = sizes[i], sizes[j]
+        if before is None:
+            need = np.maximum(1, np.ceil(t / (1 + t) * (a + b) - 1e-9).astype(np.int64) - np.maximum(a - indexed[i], b - indexed[j]))
+            need[np.maximum(a, b) == LARGE] = 1
+            count = np.ones(len(i), np.int64)
+        else:
+            need, count = np.ones(len(i), np.int64), np.full(len(i), PLENTY)
+        i, j = number[i], number[j]
+        return (np.minimum(i, j).astype(np.int64) << 32) | np.maximum(i, j), count, need
+
+    def hold(got):
+        nonlocal held, size
+        held.append(got)
+        size += len(got[0])
+        if size > limit:
+            held = [_summed(held)]
+            size = len(held[0][0]) // 2
 
     for n in np.unique(length):
         starts = begin[length == n]
@@ -270,30 +339,67 @@ def candidates_of(blob: np.ndarray, width: int, t: float, limit: int = 8_000_000
             step = max(1, 2_000_000 // len(i))
             for k in range(0, len(starts), step):
                 s = starts[k : k + step, None]
-                held.append(take((s + i).ravel(), (s + j).ravel()))
-                size += len(held[-1])
-                if size > limit:
-                    held = [np.unique(np.concatenate(held))]
-                    size = 0
+                hold(take((s + i).ravel(), (s + j).ravel()))
         else:  # a row of the triangle at a time
             for s in starts:
                 for k in range(n - 1):
-                    held.append(take(np.full(n - 1 - k, s + k), np.arange(s + k + 1, s + n)))
-                    size += len(held[-1])
-                    if size > limit:
-                        held = [np.unique(np.concatenate(held))]
-                        size = 0
-    keys = np.unique(np.concatenate(held)) if held else np.zeros(0, np.int64)
-    return _pair_table(keys, ids)
+                    hold(take(np.full(n - 1 - k, s + k), np.arange(s + k + 1, s + n)))
+    keys, counts, needs = _summed(held) if held else (np.zeros(0, np.int64),) * 3
+    return pack_pairs(ids, keys >> 32, keys & 0xFFFFFFFF, np.minimum(counts, PLENTY), needs, parts)
+
+
+def planes(x: np.ndarray, width: int) -> bytes:
+    """The low bytes of numbers, plane by plane."""
+    return np.ascontiguousarray(low_bytes(x.astype(np.uint64), width).T).tobytes()
+
+
+def pack_pairs(ids: np.ndarray, a: np.ndarray, b: np.ndarray, counts: np.ndarray, needs: np.ndarray, parts: int) -> pa.Table:
+    """(part, blob): pairs dealt by the hash of their first set. A blob names each set once."""
+    part = (mix64(ids) % U(parts)).astype(np.int32)[a]
+    order = np.argsort(part, kind="stable")
+    part, a, b, counts, needs = part[order], a[order], b[order], counts[order], needs[order]
+    cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])) if len(part) else np.zeros(1, np.int64)
+    blobs = []
+    for lo, hi in zip(cuts[:-1], cuts[1:]):
+        own, number = np.unique(np.concatenate([a[lo:hi], b[lo:hi]]), return_inverse=True)
+        head = np.array([len(own), hi - lo], np.uint32).tobytes()
+        blobs.append(head + ids[own].astype("<u8").tobytes() + planes(number, 4) + planes(counts[lo:hi], 3) + planes(needs[lo:hi], 3))
+    return pa.table({"part": pa.array(part[cuts[:-1]] if len(part) else [], pa.int32()), "pairs": pa.array(blobs, pa.binary())})
+
+
+def unpack_pairs(blob: bytes) -> tuple[np.ndarray, ...]:
+    n_ids, n = (int(x) for x in np.frombuffer(blob, np.uint32, 2))
+    ids = np.frombuffer(blob, "<u8", n_ids, 8)
+    at = 8 + 8 * n_ids
+
+    def take(count: int, width: int) -> np.ndarray:
+        nonlocal at
+        raw = np.frombuffer(blob, np.uint8, count * width, at).reshape(width, count)
+        at += count * width
+        return from_bytes(np.ascontiguousarray(raw.T).ravel(), width).astype(np.int64)
+
+    number, counts, needs = take(2 * n, 4), take(n, 3), take(n, 3)
+    return ids[number[:n]], ids[number[n:]], counts, needs
+
+
+def settle(table: pa.Table) -> pa.Table:
+    """Pairs that share as many tokens as they must, over all ranges."""
+    got = [unpack_pairs(x.as_buffer().to_pybytes()) for x in table.column("pairs")]
+    a, b, counts, needs = (np.concatenate(x) for x in zip(*got))
+    order = np.lexsort((b, a))
+    a, b, counts, needs = a[order], b[order], counts[order], needs[order]
+    cuts = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+    good = np.add.reduceat(counts, cuts) >= np.minimum.reduceat(needs, cuts)
+    return pa.table({"a": pa.array(a[cuts][good].view(np.int64)), "b": pa.array(b[cuts][good].view(np.int64))})
 
 
-def _candidates(texts: DataFrame, n: int, t: float, frequent: np.ndarray, ranges: int) -> DataFrame:
+def _candidates(texts: DataFrame, n: int, t: float, frequent: tuple[np.ndarray, np.ndarray], ranges: int) -> DataFrame:
     known: list[Known] = []
 
     def pack(batches):
         if not known:
-            known.append(Known(frequent))
-        kinds = (Blobs(ranges), Blobs(ranges))
+            known.append(Known(*frequent))
+        kinds = (Blobs(ranges, pack=pack_postings), Blobs(ranges, pack=pack_postings))
         for tokens, bounds in _token_sets(batches, n):
             for kind, found in enumerate(postings(tokens, bounds, known[0], t)):
                 if found:
@@ -305,9 +411,11 @@ def _candidates(texts: DataFrame, n: int, t: float, frequent: np.ndarray, ranges
 
     def meet(table: pa.Table) -> pa.Table:
         kind = table.column("kind")[0].as_py()
-        return candidates_of(_read(table), (RARE, COMBO)[kind], t)
+        width = (RARE, COMBO)[kind]
+        return candidates_of(np.concatenate([unpack_postings(x.as_buffer(), width) for x in table.column("blob")]), width, t, ranges)
 
-    return texts.mapInArrow(pack, "kind int, part int, blob binary").groupBy("kind", "part").applyInArrow(meet, "a long, b long").distinct()
+    met = texts.mapInArrow(pack, "kind int, part int, blob binary").groupBy("kind", "part").applyInArrow(meet, "part int, pairs binary")
+    return met.groupBy("part").applyInArrow(settle, "a long, b long")
 
 
 def _kinded(b: pa.RecordBatch, kind: int) -> pa.RecordBatch:
@@ -326,27 +434,34 @@ def set_pairs(texts: DataFrame, n: int = N, t: float = THRESHOLD) -> DataFrame:
     ranges = shuffle_width(texts.sparkSession)
     frequent = frequent_tokens(texts, n, FREQUENT, ranges)
     cands = cut_lineage(_candidates(texts, n, t, frequent, ranges))
-    # verification: sets are dealt to groups, and a pair is compared in the cell of its two groups
-    groups = max(2, math.isqrt(2 * ranges))
-    group = lambda c: F.pmod(F.xxhash64(c), F.lit(groups)).cast("int")
-    cell = F.least(group("a"), group("b")) * groups + F.greatest(group("a"), group("b"))
-    pairs = cands.withColumn("cell", cell)
+    # verification: a connected part of the candidates meets in one cell, with its sets; a large part is dealt to groups, and a
+    # pair is compared in the cell of its two groups
+    roots = components(cands)
+    parts = cands.join(roots.select("root", F.col("node").alias("a")), "a", "left").withColumn("root", F.coalesce("root", "a"))
+    parts = cut_lineage(parts)
+    nodes = parts.select("root", F.col("a").alias("id")).union(parts.select("root", F.col("b").alias("id"))).distinct()
+    big = nodes.groupBy("root").agg(F.ceil(F.count("*") / LARGE_PART).cast("int").alias("groups")).where("groups > 1")
+    parts = parts.join(big, "root", "left").withColumn("groups", F.coalesce("groups", F.lit(1)))
+    group = lambda c: F.pmod(F.xxhash64(c), F.col("groups"))
+    cell = F.pmod(F.xxhash64("root", F.least(group("a"), group("b")), F.greatest(group("a"), group("b"))), F.lit(4 * ranges)).cast("int")
+    pairs = cut_lineage(parts.select("a", "b", cell.alias("cell")))
     ends = pairs.select(F.col("a").alias("id"), "cell").union(pairs.select(F.col("b").alias("id"), "cell")).distinct()
-    wanted = _filter_of(cands.select(F.col("a").alias("id")).union(cands.select(F.col("b").alias("id"))))
+    wanted = _filter_of(ends.select("id"))
 
     def sets(batches):
         for tokens, bounds in _token_sets(batches, n):
             ids = set_ids(tokens, bounds)
-            some = np.flatnonzero(wanted[(ids & U(len(wanted) - 1)).astype(np.int64)] & (np.diff(bounds) > 0))
+            low = (ids & U(8 * len(wanted) - 1)).astype(np.int64)
+            some = np.flatnonzero((wanted[low >> 3] >> (7 - (low & 7)) & 1).astype(bool) & (np.diff(bounds) > 0))
             _, one = np.unique(ids[some], return_index=True)
             some = some[one]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[some].view(np.int64)), pa.array([low_bytes(tokens[bounds[d] : bounds[d + 1]], 6).tobytes() for d in some], pa.binary())], names=["id", "blob"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[some].view(np.int64)), pa.array([pack_sorted(np.sort(tokens[bounds[d] : bounds[d + 1]] & _48), 6) for d in some], pa.binary())], names=["id", "blob"])
 
     blobs = texts.mapInArrow(sets, "id long, blob binary").groupBy("id").agg(F.first("blob").alias("blob"))
     dealt = blobs.join(ends, "id").select(F.col("cell").alias("in_cell"), "id", "blob")
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
-        have = {i: np.sort(from_bytes(np.frombuffer(x.as_buffer(), np.uint8), 6)) for i, x in zip(right.column("id").to_pylist(), right.column("blob"))}
+        have = {i: unpack_sorted(x.as_buffer(), 6) for i, x in zip(right.column("id").to_pylist(), right.column("blob"))}
         a, b = left.column("a").to_pylist(), left.column("b").to_pylist()
         sims = np.fromiter((_similar(have[x], have[y], t) for x, y in zip(a, b)), float, len(a))
         good = pa.array(sims >= t - 1e-12)
@@ -372,9 +487,9 @@ def _filter_of(ids: DataFrame) -> np.ndarray:
 
     low = F.col("id").bitwiseAND(F.lit(bits - 1))
     pieces = ids.select(F.shiftright(low, 16).alias("piece"), low.bitwiseAND(F.lit(0xFFFF)).alias("bit")).groupBy("piece").applyInArrow(piece, "piece long, bits binary")
-    out = np.zeros((bits >> 16, 1 << 16), dtype=bool)
+    out = np.zeros((bits >> 16, 1 << 13), np.uint8)
     for r in pieces.collect():
-        out[r.piece] = np.unpackbits(np.frombuffer(r.bits, np.uint8)).astype(bool)
+        out[r.piece] = np.frombuffer(r.bits, np.uint8)
     return out.ravel()
 
 
