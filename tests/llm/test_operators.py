@@ -1,0 +1,376 @@
+"""Operators against brute force, and on awkward tables."""
+
+import itertools
+import math
+import random
+import re
+
+import numpy as np
+import pytest
+
+from siltlog.llm import chat, decontam, embdedup, jaccard, licenses, linededup, mixing, pii, quality, tokencount
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
+
+
+def prose(rng, n):
+    return " ".join(rng.choice(WORDS) + str(rng.randrange(40)) for _ in range(n))
+
+
+def table(spark, texts, ids=None):
+    return spark.createDataFrame([(i, t, "en", f"s{k % 3}", len(t or "")) for k, (i, t) in enumerate(zip(ids or range(len(texts)), texts))], SCHEMA)
+
+
+def awkward(spark):
+    """Nulls everywhere, empty and long texts, repeated rows and ids, and columns named like the operators' own."""
+    long = "\n".join(f"line {i} of a long text" for i in range(20_000))
+    rows = [(None, None, None, None, None), (1, "", "", "", 0), (2, long, "en", "a", len(long)), (2, long, "en", "a", len(long)), (3, " \n\t ", "en", None, 4), (None, "one two three", "en", "a", 13), (3, "word", None, "b", 4), (4, "x\ny\nz\nx\ny\nz", "en", "b", 11), (5, "\U0001f600 é ß ñ\x00", "en", "b", 9)]
+    rows = [(*r, 7, 8, 9, 10, 11, 12) for r in rows]
+    return spark.createDataFrame(rows, SCHEMA + ", _key int, copy int, n_removed int, id int, label int, token int")
+
+
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def words(t):
+    return re.findall(r"[^\W_]+", (t or "").lower())
+
+
+# --- line dedup
+
+
+def brute_lines(rows):
+    seen, out = set(), []
+    for i, t in sorted(rows, key=lambda r: r[0]):
+        lines = t.split("\n")
+        at = [k for k, x in enumerate(lines) if x.strip(" ")]
+        gone = set()
+        for j in range(len(at) - 2):
+            w = tuple(lines[at[j + m]].strip(" ") for m in range(3))
+            if w in seen:
+                gone |= {at[j + m] for m in range(3)}
+            seen.add(w)
+        out.append((i, "\n".join(x for k, x in enumerate(lines) if k not in gone), len(gone)))
+    return out
+
+
+def test_line_dedup(spark):
+    rng = random.Random(1)
+    texts = ["\n".join(rng.choice(["a", "b", " c ", "", "d", "e"]) for _ in range(rng.randrange(12))) for _ in range(60)]
+    got = linededup.line_dedup(table(spark, texts)).select("doc_id", "text", "n_removed").collect()
+    assert sorted(map(tuple, got)) == brute_lines(list(enumerate(texts)))
+    assert linededup.line_dedup(empty(spark)).count() == 0
+    a = awkward(spark)
+    out = linededup.line_dedup(a)
+    assert out.columns == [*a.columns, "n_removed_"] and out.count() == a.count()
+    assert {r.text for r in out.where("doc_id = 4").collect()} == {"x\ny\nz"}
+    assert linededup.line_dedup(table(spark, ["a\nb\nc", "a\nb\nc"]), drop_emptied=True).count() == 1
+
+
+# --- quality classifier
+
+
+def test_quality(spark):
+    d = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    held = labels.where("doc_id % 4 = 0")
+    model = quality.train(docs, labels.where("doc_id % 4 <> 0"))
+    rows = quality.classify(docs, model).join(held, "doc_id").select("keep", "quality", "toxic").collect()
+    clean = [r for r in rows if r.quality and not r.toxic]
+    toxic = [r for r in rows if r.toxic]
+    assert np.mean([r.keep for r in clean]) > 0.95
+    # some 360 toxic labels to learn from; with 1500 of each class it is 0.99 (measured on a larger table)
+    assert np.mean([not r.keep for r in toxic]) > 0.6
+    assert quality.train(docs, labels.limit(0)) is None
+    a = awkward(spark)
+    assert quality.keep_clean(a, model).columns == a.columns
+    got = quality.classify(a, model).where("doc_id is null or doc_id = 1").collect()
+    assert len(got) == 3 and all(r.keep for r in got if r.doc_id == 1)
+    assert quality.classify(empty(spark), model).count() == 0 and quality.keep_clean(a, None).count() == a.count()
+
+
+# --- license scan
+
+
+def brute_licenses(texts):
+    rows = []
+    for d, t in enumerate(texts):
+        w = words(t)
+        grams = list(zip(w, w[1:]))
+        for name, template in licenses.TEMPLATES:
+            tw = words(template)
+            tg = list(zip(tw, tw[1:]))
+            want, width = set(tg), len(tg)
+            hits = [(s, len(want & set(grams[s : s + width])) / len(want)) for s in range(len(grams) - width + 1)]
+            hits = [(s, c) for s, c in hits if c >= licenses.CONTAINMENT - 1e-12]
+            if hits:
+                s, c = zip(*hits)
+                rows += [(d, name, a, width + 1, round(b, 9)) for a, b in licenses.best_windows(np.array(s), np.array(c), width)]
+    return sorted(rows)
+
+
+def test_licenses(spark):
+    rng = random.Random(2)
+    texts = []
+    for _ in range(80):
+        parts = [prose(rng, rng.randrange(30)) for _ in range(3)]
+        for k in range(2):
+            w = rng.choice(licenses.TEMPLATES)[1].split()
+            if rng.random() < 0.5 and len(w) > 8:
+                w[rng.randrange(len(w))] = "changed"
+            parts.insert(2 * k + 1, " ".join(w))
+        texts.append("\n".join(parts))
+    got = [(r.doc_id, r.license, r.word_start, r.n_words, round(r.containment, 9)) for r in licenses.scan_licenses(table(spark, texts)).collect()]
+    assert sorted(got) == brute_licenses(texts) and len(got) > 100
+    assert licenses.scan_licenses(empty(spark)).count() == 0 and licenses.scan_licenses(awkward(spark)).count() == 0
+    twice = table(spark, [licenses.TEMPLATES[0][1]] * 2, [None, None])
+    assert [r.doc_id for r in licenses.scan_licenses(twice).collect()] == [None, None]
+
+
+# --- mixing
+
+
+def test_mixing(spark):
+    texts = [prose(random.Random(i), 5 + i % 50) for i in range(900)]
+    docs = table(spark, texts)
+    rates = {r.source: r.rate for r in mixing.source_rates(docs, {"s0": 1, "s1": 2}).collect()}
+    size = {s: sum(len(t) for k, t in enumerate(texts) if k % 3 == s) for s in range(3)}
+    assert rates["s2"] == 0 and math.isclose(rates["s1"], 2 / 3 * sum(size.values()) / size[1])
+    got = mixing.mix_sources(docs, {"s0": 1, "s1": 2})
+    chars = {r.source: r.n for r in got.groupBy("source").agg({"n_chars": "sum"}).withColumnRenamed("sum(n_chars)", "n").collect()}
+    assert abs(chars["s1"] / sum(chars.values()) - 2 / 3) < 0.05 and "s2" not in chars
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, mixing.mix_sources(docs.repartition(3), {"s0": 1, "s1": 2}).collect()))
+    assert mixing.mix_sources(empty(spark)).count() == 0
+    a = awkward(spark)
+    assert mixing.mix_sources(a).columns == [*a.columns, "copy_"] and mixing.mix_sources(a, {None: 1.0}).count() >= 0
+
+
+# --- PII
+
+
+def test_pii(spark):
+    model = pii.train()
+    made = pii.generate(77, 200)
+    g = pii.Graph()
+    for d, (t, _) in enumerate(made):
+        g.add(d, t)
+    gold = pii.gold_labels(g, [s for _, s in made])
+    assert (model.labels(g) == gold).mean() > 0.98
+    t = "mail jo.12@mail3.example.com or call +1 (499) 555-6503, from 8.196.197.208 in 1999."
+    got = pii.find_pii(table(spark, [t, "No numbers here.", "chapter 3 of 17"]), model).collect()
+    assert {(r.doc_id, r.label, t[r.start : r.end]) for r in got} == {(0, "EMAIL", "jo.12@mail3.example.com"), (0, "PHONE", "+1 (499) 555-6503"), (0, "IP", "8.196.197.208")}
+    assert pii.find_pii(empty(spark), model).count() == 0 and pii.find_pii(awkward(spark), model).count() >= 0
+
+
+def test_skip_edges_carry_labels():
+    model = pii.Model()
+    f = pii.bucket("x")
+    model.unary[f, 5] = 4.0
+    model.edge[1] = np.eye(pii.L) * 3
+    g = pii.Graph(doc=[0, 0], number=[0, 9], place=[0, 50], token=["k9", "k9"], features=[[f], [pii.bucket("y")]], edges=[(1, 0, 1)])
+    assert model.labels(g).tolist() == [5, 5]
+
+
+# --- token counts
+
+
+def test_token_counts(spark):
+    rng = random.Random(3)
+    counter = tokencount.Counter()
+    enc = counter.encoding
+    for _ in range(300):
+        x = "".join(rng.choice([" ", "\n", "'s", "the", "9", ".", "é", " cat"]) for _ in range(rng.choice([0, 5, 400])))
+        tree = tokencount.Tree.from_columns(*tokencount.Tree(x, counter).to_columns(), counter)
+        for _ in range(6):
+            s = rng.randint(0, len(x))
+            e, new = s + rng.choice([0, 1, 3, 200]), "".join(rng.choice([" ", "'", "s", "x", "\n"]) for _ in range(rng.choice([0, 1, 4, 600])))
+            x = x[:s] + new + x[e:]
+            tree.edit(s, e, new)
+            assert tree.text() == x and tree.n_tokens == len(enc.encode_ordinary(x))
+    big = tokencount.Tree(prose(rng, 20_000), counter)
+    big.edit(50_000, 50_010, "word")
+    assert big.encoded < 200
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    texts = {r.doc_id: (r.text, r.source) for r in d.collect()}
+    for r in tokencount.edited_counts(d, tokencount.house_edits(d)).collect():
+        t, source = texts[r.doc_id]
+        cut = min(40, len(t) - len(t) // 2)
+        assert r.n_before == len(enc.encode_ordinary(t)) and r.n_tokens == len(enc.encode_ordinary(f"{source}\n{t[: len(t) // 2]}{t[len(t) // 2 + cut :]}\n"))
+    trees = tokencount.build_trees(awkward(spark))
+    same = tokencount.apply_edits(trees.selectExpr("*", "cast(null as array<struct<start:bigint,end:bigint,text:string>>) as edits")).collect()
+    assert len(same) == 9 and all(r.n_tokens == r.n_before and r.n_encoded == 0 for r in same)
+    a = awkward(spark)
+    assert tokencount.edited_counts(a, tokencount.house_edits(a)).count() == 9 and tokencount.build_trees(empty(spark)).count() == 0
+
+
+# --- decontamination
+
+
+def brute_spans(docs, items):
+    out = []
+    for (d, t), (i, u) in itertools.product(docs, items):
+        a, b = words(t), words(u)
+        for x, y in itertools.product(range(len(a)), range(len(b))):
+            if a[x] == b[y] and (not x or not y or a[x - 1] != b[y - 1]):
+                n = 0
+                while x + n < len(a) and y + n < len(b) and a[x + n] == b[y + n]:
+                    n += 1
+                if n >= decontam.MIN_WORDS:
+                    out.append((d, i, x, y, n))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("limit", [decontam.BROADCAST_CHARS, -1])
+def test_decontamination(spark, monkeypatch, limit):
+    monkeypatch.setattr(decontam, "BROADCAST_CHARS", limit)
+    rng = random.Random(4)
+    items = [prose(rng, 40) for _ in range(8)] + ["same same " * 12]
+    texts = []
+    for _ in range(40):
+        w = rng.choice(items).split()
+        s = rng.randrange(len(w))
+        texts.append(f"{prose(rng, 20)} {' '.join(w[s : s + rng.randrange(5, 25)]).upper()} {prose(rng, 20)}")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    docs = table(spark, texts)
+    want = brute_spans(list(enumerate(texts)), list(enumerate(items)))
+    assert sorted(map(tuple, decontam.contamination(docs, bench).collect())) == want and want
+    left = {r.doc_id for r in decontam.drop_contaminated(docs, bench).collect()}
+    assert left == set(range(len(texts))) - {w[0] for w in want}
+    a = awkward(spark)
+    assert decontam.drop_contaminated(a, bench).count() == a.count() and decontam.drop_contaminated(a, bench).columns == a.columns
+    assert decontam.contamination(a, bench).count() == 0 and decontam.contamination(empty(spark), bench).count() == 0
+    assert decontam.contamination(docs, bench.limit(0)).count() == 0
+
+
+# --- Jaccard join
+
+
+def gram_set(t, n):
+    w = words(t)
+    return frozenset(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) or (frozenset([tuple(w)]) if w else frozenset())
+
+
+@pytest.mark.parametrize("t,frequent", [(0.6, 4), (0.6, 1000), (0.8, 2), (0.55, 3)])
+def test_jaccard_join(spark, monkeypatch, t, frequent):
+    monkeypatch.setattr(jaccard, "FREQUENT", frequent)
+    rng = random.Random(5)
+    texts = []
+    for _ in range(40):
+        base = prose(rng, rng.choice([2, 3, 5, 9, 60, 200])).split()
+        for _ in range(rng.choice([1, 2, 5])):
+            w = list(base)
+            for _ in range(rng.randrange(1 + len(w) // 10)):
+                w[rng.randrange(len(w))] = rng.choice(WORDS)
+            texts.append(" ".join(w))
+    texts += ["a b", "a b c", "b c d", "a b c", "", "solo", "solo", None]
+    sets = [gram_set(x, jaccard.N) for x in texts]
+    first = {}
+    for i, s in enumerate(sets):
+        if s:
+            first.setdefault(s, i)
+    want = {(first[s], i): 1.0 for i, s in enumerate(sets) if s and first[s] != i}
+    for (a, i), (b, j) in itertools.combinations(first.items(), 2):
+        sim = len(a & b) / len(a | b)
+        if sim >= t - 1e-12:
+            want[min(i, j), max(i, j)] = sim
+    docs = table(spark, texts)
+    got = {(r.doc_id, r.other_id): r.jaccard for r in jaccard.jaccard_join(docs, t=t).collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[k], want[k]) for k in got)
+    parent = list(range(len(texts)))
+    for i, j in sorted(want):
+        a, b = parent[i], parent[j]
+        parent = [min(a, b) if p in (a, b) else p for p in parent]
+    kept = {r.doc_id for r in jaccard.keep_one(docs, t=t).collect()}
+    assert kept == {i for i, p in enumerate(parent) if i == p}
+
+
+def test_jaccard_awkward(spark):
+    a = awkward(spark)
+    assert jaccard.keep_one(a).columns == a.columns
+    assert jaccard.keep_one(a).count() == 8  # the repeated row stays once
+    assert jaccard.jaccard_join(empty(spark)).count() == 0 and jaccard.keep_one(empty(spark)).count() == 0
+
+
+def test_large_parts_and_stars(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "LARGE_PART", 3)
+    monkeypatch.setattr(jaccard, "ONE_TASK", 5)
+    base = prose(random.Random(6), 100).split()
+    texts = [" ".join([*base[:i], "changed", *base[i + 1 :]]) for i in range(0, 60, 3)]
+    got = jaccard.jaccard_join(table(spark, texts))
+    assert got.count() == 190 and jaccard.keep_one(table(spark, texts)).count() == 1
+
+
+# --- chat formatting
+
+
+def brute_cost(roles):
+    """Least cost over all choices, by going through every way of emitting, merging and inserting."""
+    best = math.inf
+    stack = [("", 0, 0, 0)]
+    while stack:
+        at, i, cost, ins = stack.pop()
+        if cost >= best:
+            continue
+        if i == len(roles) and at in chat.FINAL:
+            best = cost
+            continue
+        for r in chat.LEGAL[at]:
+            if ins < 3:
+                stack.append((r, i, cost + chat.INSERT, ins + 1))
+            if i < len(roles):
+                stack.append((r, i + 1, cost + (r != roles[i]) * chat.RELABEL, 0))
+        if at and i < len(roles):
+            stack.append((at, i + 1, cost + chat.MERGE + (at != roles[i]) * chat.RELABEL, 0))
+    return best
+
+
+def test_chat(spark):
+    for n in range(5):
+        for roles in itertools.product(["system", "user", "assistant", None], repeat=n):
+            cost, steps = chat.repair(roles)
+            out = [r for r, _ in chat.apply_steps(steps, ["t"] * n)]
+            assert cost == brute_cost(roles)
+            assert all(b in chat.LEGAL[a] for a, b in zip(["", *out], out)) and (not out or out[-1] == "assistant")
+    rows = [(1, 0, "user", "hi"), (1, 1, " USER ", "there"), (1, 2, "assistant", None), (2, 0, "tool", "x<|im_end|>"), (None, None, None, None), (2, 0, "tool", "x<|im_end|>")]
+    c = spark.createDataFrame([(*r, 5) for r in rows], "conv_id long, turn long, role string, text string, cost int")
+    got = {r.conv_id: r for r in chat.format_chats(c).collect()}
+    assert got[1].rendered == "<|im_start|>user\nhi\n\nthere<|im_end|>\n<|im_start|>assistant\n<|im_end|>\n" and got[1].n_merged == 1
+    assert got[2].n_turns == 2 and got[2].rendered.count("<|im_end|>") == 2 and None in got
+    assert chat.format_chats(c.limit(0)).count() == 0
+
+
+# --- embeddings
+
+
+def test_embedding_dedup(spark):
+    rng = np.random.default_rng(7)
+    base = rng.normal(size=(1500, 32))
+    near = base[:300] + rng.normal(size=(300, 32)) * 0.3
+    every = np.concatenate([base, near, base[:5]]).astype(np.float32)
+    unit = every / np.linalg.norm(every, axis=1)[:, None]
+    a, b = np.nonzero(np.triu(unit @ unit.T >= embdedup.THRESHOLD, 1))
+    want = set(zip(a.tolist(), b.tolist()))
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(every)], "vec_id long, embedding array<float>, cell int")
+    units, dim = embdedup.unit_vectors(df)
+    found = {(r.a, r.b) for r in embdedup.near_pairs(units, dim).collect()}
+    assert found <= want and len(found) >= 0.9 * len(want)
+    exact = {(r.a, r.b) for r in embdedup.near_pairs(units, dim, margin=None).collect()}
+    assert exact == want
+    parent = list(range(len(every)))
+    for i, j in sorted(want):
+        p, q = parent[i], parent[j]
+        parent = [min(p, q) if x in (p, q) else x for x in parent]
+    got = embdedup.dedup_embeddings(df, margin=None).collect()
+    assert {r.vec_id: r.representative for r in got} == dict(enumerate(parent)) and all(r.kept == (r.vec_id == r.representative) for r in got)
+
+
+def test_embedding_awkward(spark):
+    nan = float("nan")
+    rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (2, [0.0, 1.0]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [nan, 1.0]), (None, [1.0]), (7, [0.0, 3.0, 0.0]), (8, [None, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {r.vec_id: r.representative for r in embdedup.dedup_embeddings(df).collect()}
+    assert got == {None: None, 1: None, 2: None, 7: None, 3: 3, 4: 4, 5: 5, 6: 6, 8: 8}
+    assert embdedup.dedup_embeddings(df.limit(0)).count() == 0
+    assert embdedup.dedup_embeddings(df.where("vec_id in (3, 4)")).count() == 2
