@@ -12,7 +12,8 @@ def seconds(c: Column, kind: str) -> Column:
     """Whole seconds since 1970 of a timestamp or timestamp_ntz column (the latter is UTC), whatever the session's zone."""
     if kind == "timestamp":
         return F.unix_seconds(c)
-    return F.timestamp_diff("SECOND", F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'"), c)
+    days = F.date_diff(c.cast("date"), F.expr("DATE '1970-01-01'")).cast("long")
+    return days * 86400 + F.hour(c) * 3600 + F.minute(c) * 60 + F.second(c)
 
 
 def literal(when: dt.datetime, kind: str) -> Column:

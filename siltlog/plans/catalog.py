@@ -60,7 +60,7 @@ class Index:
         return sorted(t for n, t in self.fields if n == name)
 
     def term(self, t: Term) -> Predicate | None:
-        """A leaf's predicate, never null; None if the index lacks the field or nothing of the value is left. A name with
+        """A leaf's predicate, null where the field is absent; None if the index lacks the field or nothing of the value is left. A name with
         several types is tried as each of them."""
         name, kind = t.field, t.type
         if name is None:
@@ -75,7 +75,7 @@ class Index:
                 errors.append(e)
                 continue
             if p is not None:
-                found.append(Predicate(F.coalesce(p.column, F.lit(False)), p.cost))
+                found.append(p)
         if errors and not found:
             raise errors[0]
         if not found:

@@ -23,7 +23,9 @@ def _or(parts: list[Predicate]) -> Predicate:
 
 
 def _not(p: Predicate) -> Predicate:
-    return Predicate(~p.column, p.cost)
+    """The complement: an absent field doesn't match, so its negation does. Elsewhere null is as good as false, and plain comparisons
+    reach the scan."""
+    return Predicate(~F.coalesce(p.column, F.lit(False)), p.cost)
 
 
 def _flat(node: And | Or) -> list[Node]:
@@ -37,8 +39,8 @@ def _flat(node: And | Or) -> list[Node]:
 def resolve(node: Node, index: Index, compat: bool = False) -> Predicate | None:
     """None: nothing is left of the query for this index, so it has no result.
 
-    Leaves whose field the index lacks vanish: a conjunction or disjunction is that of its other parts. Predicates are
-    never null, so NOT is the complement: it matches events without the field. With ``compat``, negations that stand directly in a
+    Leaves whose field the index lacks vanish: a conjunction or disjunction is that of its other parts. NOT is the
+    complement: it matches events without the field. With ``compat``, negations that stand directly in a
     conjunction or disjunction are taken from its other parts instead: ``a OR NOT b`` is ``a AND NOT b``, and without other
     parts there is no result."""
     if isinstance(node, All):

@@ -162,7 +162,7 @@ def save_csv(rows: DataFrame, path: str, names: list[str]) -> None:
     rows = rows.select(
         F.date_format(F.timestamp_seconds("evid.ts"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("ts"), f["input"].alias("input"), f["hostname"].alias("hostname"), evid_string("evid.ts", "evid.offset").alias("id"), F.col("default_value").alias("default"), *(f[n].alias(n) for n in others),
     )
-    rows.write.option("header", True).option("escape", '"').option("nullValue", "\\N").option("emptyValue", "").mode("overwrite").csv(path)
+    rows.write.option("header", True).option("escape", '"').option("nullValue", "\\N").mode("overwrite").csv(path)
 
 
 def load_csv(spark: SparkSession, path: str) -> DataFrame:

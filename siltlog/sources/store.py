@@ -57,8 +57,9 @@ class Store:
         if not self._exists(self.events_path):
             return []
         fs, p = self._fs(self.events_path)
-        names = [s.getPath().getName() for s in fs.listStatus(p)]
-        return sorted(int(n.partition("=")[2]) for n in names if n.startswith("segment="))
+        found = [s.getPath() for s in fs.listStatus(p) if s.getPath().getName().startswith("segment=")]
+        # a batch without events leaves a folder without days, which is no segment
+        return sorted(int(f.getName().partition("=")[2]) for f in found if any(d.getPath().getName().startswith("day=") for d in fs.listStatus(f)))
 
     def _shaped(self, df: DataFrame, types: dict[str, str]) -> DataFrame:
         columns = self.add_fields(types)
@@ -75,7 +76,7 @@ class Store:
         offsets go on from the greatest one. Events whose id is there already are left out. With ``segment`` that segment is
         written anew, so that a batch that is tried again stays one batch."""
         types = types or {}
-        have = self._exists(self.events_path)
+        have = bool(self.segments())
         known = None
         if have:
             known = self.spark.read.parquet(self.events_path)
@@ -92,7 +93,7 @@ class Store:
         else:
             ids = self.segments()
             current = ids[-1] if ids else 0
-            if self.rotation and ids and self.spark.read.parquet(f"{self.events_path}/segment={current}").count() >= self.rotation:
+            if self.rotation and ids and known.filter(F.col("segment") == current).count() >= self.rotation:
                 current += 1
             rows.write.mode("append").partitionBy("day").parquet(f"{self.events_path}/segment={current}")
         self.expire()

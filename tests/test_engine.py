@@ -81,6 +81,7 @@ def test_pushdown(spark):
     from siltlog import queries
 
     e = queries.engine(spark, "/root/testdata/sf0.001")
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
     plan = e.iter_events("event_type=error WHERE DATE FROM 2024/1/5 TO 2024/1/10").data._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(ts,2024-01-05" in plan and "EqualTo(event_type,error)" in plan and "TakeOrderedAndProject" in plan
 
