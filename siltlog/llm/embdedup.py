@@ -15,10 +15,12 @@ from .util import NULL_ID, cut_lineage, id_key
 #: Least cosine of near duplicates.
 THRESHOLD = 0.9
 ROUNDS, MAX_CELLS = 4, 16384
-#: A vector also visits each cell that it is nearly as close to as to its own: its distance from the border is at most so many standard
-#: deviations of what a near duplicate at the threshold differs in one direction, were the difference spread evenly over all. A pair is
-#: lost only if both stay away, hence if it differs by twice that towards the border; MARGIN None gives the bound that loses none.
+#: A vector also visits each cell whose border is within half the distance of near duplicates at the threshold, so no pair is lost: of two that
+#: are on either side of a border, one is as near to it as that. With a margin, a lesser distance: so many standard deviations of what a near
+#: duplicate differs in one direction, were the difference spread evenly over all dimensions. Where it isn't, as in text embeddings, pairs are lost.
 MARGIN = 1.5
+#: What rounding may add to a difference of cosines.
+SLACK = 1e-5
 #: Vectors in a block; larger cells are compared block by block, each pair of blocks a group of its own.
 BLOCK = 2048
 
@@ -85,27 +87,51 @@ def kmeans(vectors: DataFrame, dim: int, cells: int, rounds: int = ROUNDS) -> np
     return centres
 
 
-def near_pairs(vectors: DataFrame, dim: int, t: float = THRESHOLD, margin: float | None = MARGIN) -> DataFrame:
-    """(a, b, cosine) with a < b for pairs of vectors (k, v) with a cosine of t or more; each found pair once."""
+def near_pairs(vectors: DataFrame, dim: int, t: float = THRESHOLD, margin: float | None = None) -> DataFrame:
+    """(a, b, cosine) with a < b for pairs of vectors (k, v) with a cosine of t or more; each once, and all without a margin.
+
+    Vectors far from each other in no direction visit so many cells that these take more work than all pairs, block by block; then
+    there is one cell. Both ways find the same."""
     n = vectors.count()
-    cells = max(1, min(MAX_CELLS, round(math.sqrt(n) / 2)))
-    centres = kmeans(vectors, dim, cells) if n else np.zeros((1, max(1, dim)), np.float32)
+    cells = max(1, min(MAX_CELLS, round(math.sqrt(n) / 2))) if margin is not None or n > BLOCK else 1
+    centres = kmeans(vectors, dim, cells) if cells > 1 else np.zeros((1, max(1, dim)), np.float32)
     far = math.sqrt(max(0.0, 2 - 2 * t))
     reach = far / 2 if margin is None else min(far / 2, margin * far / math.sqrt(max(1, dim)))
-    apart = np.sqrt(np.maximum(2 - 2 * centres @ centres.T, 1e-12))
+    wide = centres.astype(float)
+    apart = np.sqrt(np.maximum((wide**2).sum(axis=1)[:, None] + (wide**2).sum(axis=1) - 2 * wide @ wide.T, 1e-12)).astype(np.float32)
+
+    def visits(x):
+        s = x @ centres.T
+        home = s.argmax(axis=1)
+        visit = (s[np.arange(len(s)), home][:, None] - s) <= reach * apart[home] + SLACK
+        visit[np.arange(len(s)), home] = True
+        return home, visit
+
+    def tally(batches):
+        total = np.zeros(len(centres), np.int64)
+        for b in batches:
+            for lo in range(0, b.num_rows, 1024):
+                total += visits(_matrix(b.slice(lo, 1024).column(1), dim))[1].sum(axis=0)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["cell", "n"])
 
     def assign(batches):
         for b in batches:
             for lo in range(0, b.num_rows, 1024):
                 part = b.slice(lo, 1024)
-                s = _matrix(part.column(1), dim) @ centres.T
-                home = s.argmax(axis=1)
-                visit = (s[np.arange(len(s)), home][:, None] - s) <= reach * apart[home]
-                visit[np.arange(len(s)), home] = True
+                home, visit = visits(_matrix(part.column(1), dim))
                 row, cell = np.nonzero(visit)
                 yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(cell == home[row]), *part.take(pa.array(row)).columns], names=["cell", "home", "k", "v"])
 
-    placed = cut_lineage(vectors.mapInArrow(assign, "cell int, home boolean, k long, v binary"))
+    # vectors sent, each to every block of a cell; comparisons are in proportion
+    sent = lambda c: c * F.ceil(c / BLOCK)
+    if cells > 1 and margin is None:
+        work = vectors.mapInArrow(tally, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).agg(F.sum(sent(F.col("n")))).first()[0]
+        cells = cells if work < n * math.ceil(n / BLOCK) else 1
+    if cells > 1:
+        placed = cut_lineage(vectors.mapInArrow(assign, "cell int, home boolean, k long, v binary"))
+    else:
+        placed = cut_lineage(vectors.select(F.lit(0).alias("cell"), F.lit(True).alias("home"), "k", "v"))
     size = placed.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     blocks = F.coalesce("blocks", F.lit(1))
     mine = F.pmod(F.xxhash64("k"), blocks).cast("int")
@@ -132,14 +158,14 @@ def near_pairs(vectors: DataFrame, dim: int, t: float = THRESHOLD, margin: float
     return dealt.groupBy("cell", "i", "j").applyInArrow(compare, "a long, b long, cosine double").groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
 
 
-def dedup_embeddings(embeddings: DataFrame, t: float = THRESHOLD, margin: float | None = MARGIN) -> DataFrame:
+def dedup_embeddings(embeddings: DataFrame, t: float = THRESHOLD, margin: float | None = None) -> DataFrame:
     """(vec_id, representative, kept) for each vec_id: groups are connected by cosines of ``t`` or more; the least vec_id of
     each represents it and is kept (null is an id, and the least).
 
     Vectors of fewer dimensions than the longest count as padded with zeros. Null and empty vectors, those of length zero and those with a
     null, NaN or infinite component are similar to nothing and are kept. Rows of one vec_id are one item, which is similar to whatever one of them
     is. Vectors of equal direction are grouped by their bytes and only the first is compared. An empty table gives an empty one. Other columns
-    are not read. Each vector is compared with all of its cell, however many; see MARGIN for what borders cost."""
+    are not read. No pair is lost unless a margin is given; see MARGIN."""
     all_ids = embeddings.select(id_key(embeddings, "vec_id").alias("k")).distinct()
     units, dim = unit_vectors(embeddings)
     if not dim:

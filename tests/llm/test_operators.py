@@ -366,6 +366,27 @@ def test_embedding_dedup(spark):
     assert {r.vec_id: r.representative for r in got} == dict(enumerate(parent)) and all(r.kept == (r.vec_id == r.representative) for r in got)
 
 
+@pytest.mark.parametrize("one_cell", [False, True])
+def test_embeddings_of_few_directions(spark, monkeypatch, one_cell):
+    rng = np.random.default_rng(8)
+    spread = rng.normal(size=(16, 384))
+    base = rng.normal(size=(1500, 16)) if one_cell else np.repeat(rng.normal(size=(12, 16)) * 3, 125, axis=0) + rng.normal(size=(1500, 16)) * 0.9
+    every = (np.concatenate([base, base[:600] + rng.normal(size=(600, 16)) * (0.4 if one_cell else 0.9)]) @ spread).astype(np.float32)
+    unit = every / np.linalg.norm(every, axis=1)[:, None]
+    cos = unit.astype(float) @ unit.T
+    want = set(zip(*(x.tolist() for x in np.nonzero(np.triu(cos >= embdedup.THRESHOLD, 1)))))
+    unsure = set(zip(*(x.tolist() for x in np.nonzero(np.triu(abs(cos - embdedup.THRESHOLD) < 1e-5, 1)))))
+    monkeypatch.setattr(embdedup, "BLOCK", 256)
+    used = []
+    monkeypatch.setattr(embdedup, "kmeans", lambda *a, f=embdedup.kmeans: used.append(f(*a)) or used[-1])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(every)], "vec_id long, embedding array<float>")
+    units, dim = embdedup.unit_vectors(df)
+    pairs = embdedup.near_pairs(units, dim)
+    got = {(r.a, r.b) for r in pairs.collect()}
+    assert used and got - unsure == want - unsure and len(want) > 100
+    assert {(r.a, r.b) for r in embdedup.near_pairs(units, dim, margin=embdedup.MARGIN).collect()} <= got
+
+
 def test_embedding_awkward(spark):
     nan = float("nan")
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (2, [0.0, 1.0]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [nan, 1.0]), (None, [1.0]), (7, [0.0, 3.0, 0.0]), (8, [None, 1.0])]
