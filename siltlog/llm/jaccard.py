@@ -580,6 +580,29 @@ def jaccard_join(docs: DataFrame, n: int = N, t: float = THRESHOLD) -> DataFrame
     return same.union(named.select(F.least("fa", "fb"), F.greatest("fa", "fb"), "jaccard"))
 
 
+#: Documents of one set that are paired together; more are dealt to as many groups as it takes.
+GROUP = 256
+
+
+def jaccard_pairs(docs: DataFrame, n: int = N, t: float = THRESHOLD) -> DataFrame:
+    """(doc_id, other_id, jaccard): every pair of documents whose sets have similarity ``t`` or more, those of one set included;
+    of what counts as a document or a pair the same holds as for jaccard_join. A group of n copies gives n(n - 1)/2 rows, made in
+    many tasks: the documents of a set are dealt to groups, and two groups meet in a row of their own."""
+    ids = docs.where(docs["doc_id"].isNotNull())
+    members = cut_lineage(_members(ids, n).select("k", "id").distinct())
+    counts = members.groupBy("id").agg(F.ceil(F.count("*") / GROUP).alias("groups"))
+    dealt = members.join(counts, "id").withColumn("g", F.pmod(F.xxhash64("k"), "groups"))
+    groups = cut_lineage(dealt.groupBy("id", "g").agg(F.collect_list("k").alias("ks")))
+    pairs = set_pairs(docs.select(text_of(docs).alias("text")), n, t)
+    left, right = (groups.select(F.col("id").alias(s), F.col("g").alias(f"g{s}"), F.col("ks").alias(f"k{s}")) for s in "ab")
+    # a pair of sets stands once; a set with itself takes each pair of its groups once, and of one group each pair of documents once
+    near = pairs.join(left, "a").join(right, "b").select("ka", "kb", "jaccard", F.lit(False).alias("one"))
+    equal = left.join(right, F.col("a") == F.col("b")).where("ga < gb or (ga = gb and size(ka) > 1)").select("ka", "kb", F.lit(1.0).alias("jaccard"), (F.col("ga") == F.col("gb")).alias("one"))
+    met = cut_lineage(near.union(equal)).repartition(4 * shuffle_width(docs.sparkSession))
+    flat = met.select(F.explode("ka").alias("x"), "kb", "jaccard", "one").select("x", F.explode("kb").alias("y"), "jaccard", "one")
+    return flat.where("x <> y and (not one or x < y)").select(F.least("x", "y").alias("doc_id"), F.greatest("x", "y").alias("other_id"), "jaccard")
+
+
 def keep_one(docs: DataFrame, n: int = N, t: float = THRESHOLD) -> DataFrame:
     """The rows of docs without near copies: of each group of documents connected by similarities of ``t`` or more, the one
     with the least doc_id stays (null comes first; of equal ids, that with the lesser text hash). Rows of equal doc_id and text

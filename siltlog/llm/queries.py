@@ -46,6 +46,11 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_join(_t(spark, sf_dir, "documents"))
 
 
+def op8_ngram_jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs, where op8_ngram_jaccard_join has those of first documents, and copies with the first."""
+    return jaccard.jaccard_pairs(_t(spark, sf_dir, "documents"))
+
+
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(_t(spark, sf_dir, "conversations"))
 
@@ -62,7 +67,7 @@ _WORDS = r"list_filter(string_split_regex(lower({}), '[^\p{{L}}\p{{N}}]+'), lamb
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1, "op3_license_scan": OP3, "op4_source_mixing": OP4, "op7_decontamination": OP7, "op8_ngram_jaccard_join": OP8, "op10_embedding_dedup": OP10}
+    return {"op1_line_dedup": OP1, "op3_license_scan": OP3, "op4_source_mixing": OP4, "op7_decontamination": OP7, "op8_ngram_jaccard_join": OP8, "op8_ngram_jaccard_pairs": OP8_PAIRS, "op10_embedding_dedup": OP10}
 
 
 OP1 = """
@@ -129,6 +134,14 @@ SELECT doc_id, other_id, c / (n1 + n2 - c)::DOUBLE AS jaccard FROM o WHERE c / (
 UNION ALL SELECT f.doc_id, g.doc_id, 1.0 FROM g JOIN f ON g.gs = f.gs WHERE g.doc_id > f.doc_id
 """
 
+OP8_PAIRS = f"""
+WITH w AS (SELECT doc_id, {_WORDS.format("text")} AS ws FROM documents),
+g AS (SELECT DISTINCT doc_id, list_sort(list_distinct(CASE WHEN len(ws) = 1 THEN ws ELSE list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) END)) AS gs FROM w WHERE len(ws) > 0),
+t AS (SELECT doc_id, len(gs) AS n, unnest(gs) AS t FROM g),
+o AS (SELECT a.doc_id, b.doc_id AS other_id, a.n AS n1, b.n AS n2, count(*) AS c FROM t a JOIN t b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY ALL)
+SELECT doc_id, other_id, c / (n1 + n2 - c)::DOUBLE AS jaccard FROM o WHERE c / (n1 + n2 - c)::DOUBLE >= {jaccard.THRESHOLD} - 1e-12
+"""
+
 OP10 = f"""
 WITH RECURSIVE p AS (SELECT a.vec_id AS x, b.vec_id AS y FROM embeddings a JOIN embeddings b
   ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.embedding, b.embedding) >= {embdedup.THRESHOLD}),

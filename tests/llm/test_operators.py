@@ -286,6 +286,22 @@ def test_jaccard_join(spark, monkeypatch, t, frequent):
     assert kept == {i for i, p in enumerate(parent) if i == p}
 
 
+def test_jaccard_pairs(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "GROUP", 4)
+    rng = random.Random(9)
+    base = prose(rng, 60).split()
+    texts = [" ".join(base)] * 11 + [" ".join([*base[:9], "changed", *base[10:]])] * 7 + [prose(rng, 50) for _ in range(5)] + ["solo", "solo", "", None]
+    rng.shuffle(texts)
+    sets = [gram_set(x, jaccard.N) for x in texts]
+    want = {(i, j): len(a & b) / len(a | b) for (i, a), (j, b) in itertools.combinations(enumerate(sets), 2) if a and b and len(a & b) / len(a | b) >= jaccard.THRESHOLD}
+    docs = table(spark, texts)
+    rows = jaccard.jaccard_pairs(docs.union(docs)).collect()
+    got = {(r.doc_id, r.other_id): r.jaccard for r in rows}
+    assert len(want) == 18 * 17 // 2 + 1 and len(rows) == len(got) and got.keys() == want.keys() and all(math.isclose(got[k], want[k]) for k in got)
+    assert {(r.doc_id, r.other_id) for r in jaccard.jaccard_join(docs).collect()} < got.keys()
+    assert jaccard.jaccard_pairs(empty(spark)).count() == 0
+
+
 def test_jaccard_awkward(spark):
     a = awkward(spark)
     assert jaccard.keep_one(a).columns == a.columns
