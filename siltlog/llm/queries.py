@@ -16,9 +16,9 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents that it keeps, with their class probabilities."""
+    """Label, class probabilities and keep of every document."""
     docs = _t(spark, sf_dir, "documents")
-    return quality.classify(docs, quality.train(docs, _t(spark, sf_dir, "labels"))).where("keep").drop("keep")
+    return quality.classify(docs, quality.train(docs, _t(spark, sf_dir, "labels")))
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ import re
 import numpy as np
 import pytest
 
-from siltlog.llm import chat, decontam, embdedup, jaccard, licenses, linededup, mixing, pii, quality, tokencount
+from siltlog.llm import chat, decontam, embdedup, jaccard, licenses, linededup, mixing, pii, quality, queries, tokencount
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
@@ -91,6 +91,13 @@ def test_quality(spark):
     assert quality.classify(empty(spark), model).count() == 0 and quality.keep_clean(a, None).count() == a.count()
 
 
+def test_quality_query_has_every_document(spark):
+    d = "/root/testdata/sf0.01"
+    got = queries.op2_quality_classifier(spark, d).select("doc_id", "keep").collect()
+    assert sorted(r.doc_id for r in got) == sorted(r.doc_id for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id").collect())
+    assert {r.keep for r in got} == {True, False}
+
+
 # --- license scan
 
 
