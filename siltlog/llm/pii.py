@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import warnings
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -116,7 +117,8 @@ def _features(words: list[str], traits: list[list[str]]) -> list[int]:
 
 @dataclass
 class Graph:
-    """Open tokens of some documents, joined to one graph: neighbours in the text, and each token to the next like one of its document."""
+    """Open tokens of some documents, joined to one graph: neighbours in the text, each repeated token to its first in the
+    document, and each new token to the one before that is like it."""
 
     doc: list[int] = field(default_factory=list)
     number: list[int] = field(default_factory=list)
@@ -163,7 +165,7 @@ class Graph:
                     if s in alike:
                         self.edges.append((2, alike[s], i))
                     alike[s] = i
-                repeated[c] = i
+                    repeated[c] = i  # the first: all that repeat it are two edges apart at most
 
 
 # --- the model ------------------------------------------------------------------------------------------------------------------
@@ -208,6 +210,8 @@ class Model:
             msg = new
             if change < TOLERANCE:
                 break
+        else:
+            warnings.warn(f"messages still change by {change:.2g} after {MAX_ROUNDS} rounds", RuntimeWarning, stacklevel=2)
         total = score.copy()
         np.add.at(total, target, msg)
         node = np.exp(total - total.max(axis=1, keepdims=True))
@@ -364,8 +368,8 @@ def find_pii(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """(doc_id, label, start, end): entities of each document, in characters from 0, end exclusive; documents without any have no row.
 
     A token is a run without white space; entities leave out punctuation at its ends. Null and empty texts have no entity. Texts are read
-    whole; a document's tokens make one graph, so labels agree over any distance. Each row of docs is judged by itself: repeated rows repeat their
-    entities; a null doc_id is carried along. ``model``: by default one trained on the driver (see ``train``), a few MB whatever the
+    whole; a document's tokens make one graph, in which those of a repeated token are joined to its first, so their
+    labels agree over any distance. Each row of docs is judged by itself: repeated rows repeat their entities; a null doc_id is carried along. ``model``: by default one trained on the driver (see ``train``), a few MB whatever the
     corpus. Documents are not shuffled."""
     model = model or train()
 

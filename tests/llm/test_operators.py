@@ -180,6 +180,17 @@ def test_skip_edges_carry_labels():
     assert model.labels(g).tolist() == [5, 5]
 
 
+def test_first_of_many_carries_its_label():
+    model = pii.Model()
+    model.unary[pii.bucket("<token"), 5] = 4.0
+    model.edge[1] = np.eye(pii.L) * 3
+    g = pii.Graph()
+    g.add(0, "token k9k9k9 " + "word k9k9k9 " * 199)
+    assert len(g.doc) == 200 and model.labels(g).tolist() == [5] * 200
+    node = model.marginals(g)[0][:, 5]
+    assert node[1:].min() > 0.5
+
+
 # --- token counts
 
 
