@@ -23,21 +23,39 @@ _MESSAGE = "message"
 
 @dataclass(frozen=True)
 class Filter:
+    """``transform`` takes the events and gives the new fields and the error of each. With ``parse``, that column is worked out once for each row, and
+    ``transform`` gets it as its second argument."""
+
     name: str
     contract: Contract
-    transform: Callable[[DataFrame], tuple[dict[str, Column], Column]]
+    transform: Callable[..., tuple[dict[str, Column], Column]]
+    parse: Column | None = None
 
     def apply(self, df: DataFrame) -> DataFrame:
         """Rows that carry an error already are left alone; a row that fails keeps what it had."""
         if "error" not in df.columns:
             df = df.withColumn("error", F.lit(None).cast("string"))
-        values, error = self.transform(df)
-        # both are read off the row as it came in
-        df = df.withColumns({"_failed": F.coalesce(F.col("error"), error), **{f"_new_{k}": v for k, v in values.items()}})
-        have = set(df.columns)
-        good = F.col("_failed").isNull()
-        new = {k: F.when(good, F.col(f"_new_{k}")).otherwise(F.col(k)) if k in have else F.when(good, F.col(f"_new_{k}")) for k in values}
-        return df.withColumns(new | {"error": F.col("_failed")}).drop("_failed", *(f"_new_{k}" for k in values))
+        have = df.columns
+        if self.parse is None:
+            values, error = self.transform(df)
+        else:
+            df = _once(df, "_parsed", self.parse)
+            values, error = self.transform(df, F.col("_parsed"))
+        df = _once(df, "_made", F.struct(F.coalesce(F.col("error"), error).alias("error"), *(v.alias(k) for k, v in values.items())))
+        made, good = F.col("_made"), F.col("_made.error").isNull()
+        new = {k: F.when(good, made[k]).otherwise(F.col(k)) if k in have else F.when(good, made[k]) for k in values}
+        return df.withColumns(new | {"error": made["error"]}).drop("_made", "_parsed")
+
+
+def _once(df: DataFrame, name: str, c: Column) -> DataFrame:
+    """``c`` as a column that the optimizer can't copy to the places where it is used: as what a generator makes, it is worked out once for a row."""
+    return df.select("*", F.explode(F.array(c)).alias(name))
+
+
+def _matched(c: Column, pattern: str, groups: int) -> Column:
+    """The groups of a pattern as an array, from one match; null where it isn't found. No group may match a line feed."""
+    parts = F.regexp_replace(c, f"{pattern}[\\s\\S]*$", "\n".join(f"${k}" for k in range(1, groups + 1)))
+    return F.when(c.rlike(pattern), F.split(parts, "\n", -1))
 
 
 def _contract(*fields: tuple[str, str], guarantees: bool = True) -> Contract:
@@ -48,10 +66,6 @@ def _unless(ok: Column, message: str) -> Column:
     return F.when(~F.coalesce(ok, F.lit(False)), F.lit(message))
 
 
-def _group(pattern: str, n: int, c: str = _MESSAGE) -> Column:
-    return F.regexp_extract(F.col(c), pattern, n)
-
-
 def _utc(c: Column) -> Column:
     """timestamp to timestamp_ntz in UTC, whatever the session's zone."""
     return F.convert_timezone(F.expr("current_timezone()"), F.lit("UTC"), c.cast("timestamp_ntz"))
@@ -62,15 +76,14 @@ _COMBINED = _ACCESS + r' "(.*?)" "(.*?)"'
 
 
 def _access(name: str, pattern: str, fields: list[tuple[str, str]]) -> Filter:
-    groups = {n: i for i, (n, _) in enumerate(fields, 1)}
-
-    def transform(df: DataFrame):
-        date = F.try_to_timestamp(_group(pattern, 4), F.lit("d/MMM/yyyy:HH:mm:ss Z"))
-        values = {n: _group(pattern, i + (i > 3)).try_cast("bigint") if dict(fields)[n] == "int" else _group(pattern, i + (i > 3)) for n, i in groups.items()}
-        error = F.coalesce(_unless(F.col(_MESSAGE).rlike(pattern), f"{name}: the line has another format"), _unless(date.isNotNull(), f"{name}: no such date"))
+    def transform(df: DataFrame, p: Column):
+        date = F.try_to_timestamp(F.get(p, F.lit(3)), F.lit("d/MMM/yyyy:HH:mm:ss Z"))
+        groups = [F.get(p, F.lit(i + (i > 2))) for i in range(len(fields))]  # the date comes after the third
+        values = {n: g.try_cast("bigint") if t == "int" else g for (n, t), g in zip(fields, groups)}
+        error = F.when(p.isNull(), F.lit(f"{name}: the line has another format")).when(date.isNull(), F.lit(f"{name}: no such date"))
         return {"ts": _utc(date), **values}, error
 
-    return Filter(name, _contract(*fields), transform)
+    return Filter(name, _contract(*fields), transform, _matched(F.col(_MESSAGE), pattern, len(fields) + 1))
 
 
 @register("filter", "apache_common")
@@ -90,12 +103,20 @@ _BSD = r"^(\p{Alpha}{3} +\d{1,2} \d\d:\d\d:\d\d) (\S*) (\S+) (.*)$"
 _TAG = r"^(\S+?)(?:\[(\d+)\])?:$"
 
 
-def _bsd(line: Column, year: int, name: str) -> tuple[dict[str, Column], Column]:
-    group = lambda n: F.regexp_extract(line, _BSD, n)
-    tag, ts = group(3), times.syslog_date(group(1), year)
-    pid = F.regexp_extract(tag, _TAG, 2)
-    values = {"ts": ts.cast("timestamp_ntz"), "hostname": group(2), "syslog_tag": F.regexp_extract(tag, _TAG, 1), "syslog_pid": F.when(pid != "", pid.try_cast("bigint")), _MESSAGE: group(4)}
-    error = F.coalesce(_unless(line.rlike(_BSD), f"{name}: the line has another format"), _unless(tag.rlike(_TAG), f"{name}: the tag has another format"), _unless(ts.isNotNull(), f"{name}: no such date"))
+def _bsd_parsed(line: Column) -> Column:
+    """date, host, tag with its signs, message"""
+    return _matched(line, _BSD, 4)
+
+
+def _bsd(p: Column, year: int, name: str) -> tuple[dict[str, Column], Column]:
+    at = lambda n: F.get(p, F.lit(n))
+    ts, tag = times.syslog_date(at(0), year), at(2)
+    # "name[12]:" is cut at the last bracket, if what follows is a number
+    body = F.substring(tag, F.lit(1), F.length(tag) - 1)
+    pid = F.substring_index(F.substring(body, F.lit(1), F.length(body) - 1), "[", -1)
+    has = body.endswith("]") & (pid != "") & (F.translate(pid, "0123456789", "") == "") & (F.length(body) > F.length(pid) + 2)
+    values = {"ts": ts.cast("timestamp_ntz"), "hostname": at(1), "syslog_tag": F.when(has, F.substring(body, F.lit(1), F.length(body) - F.length(pid) - 2)).otherwise(body), "syslog_pid": F.when(has, pid.try_cast("bigint")), _MESSAGE: at(3)}
+    error = F.when(p.isNull(), F.lit(f"{name}: the line has another format")).when(~tag.endswith(":") | (F.length(tag) < 2), F.lit(f"{name}: the tag has another format")).when(ts.isNull(), F.lit(f"{name}: no such date"))
     return values, error
 
 
@@ -106,7 +127,7 @@ def _syslog_contract(*more: Assertion) -> Contract:
 @register("filter", "syslog")
 def syslog(year: int | None = None) -> Filter:
     """A line of a syslog file: date without a year (the current one is taken), host, ``tag[pid]:`` or ``tag:``, and the message."""
-    return Filter("syslog", _syslog_contract(), lambda df: _bsd(F.col(_MESSAGE), int(year or utcnow().year), "syslog"))
+    return Filter("syslog", _syslog_contract(), lambda df, p: _bsd(p, int(year or utcnow().year), "syslog"), _bsd_parsed(F.col(_MESSAGE)))
 
 
 _PRI = r"^<(0|[1-9]\d{0,2})>"
@@ -120,17 +141,20 @@ def syslog_packet(selectors: str = "", year: int | None = None) -> Filter:
 
     chosen = selected(selectors) if selectors else None
 
-    def transform(df: DataFrame):
-        pri = _group(_PRI, 1).try_cast("int")
-        text = F.regexp_replace(F.col(_MESSAGE), _PRI, "")
-        values, error = _bsd(text, int(year or utcnow().year), "syslog")
+    text = F.regexp_replace(F.col(_MESSAGE), _PRI, "")
+    head = F.regexp_extract(F.col(_MESSAGE), _PRI, 1).try_cast("int")
+
+    def transform(df: DataFrame, p: Column):
+        pri, line = p["pri"], p["line"]
+        values, error = _bsd(line, int(year or utcnow().year), "syslog")
         errors = [_unless(pri.isNotNull() & (pri <= 191), "syslog: the packet has no valid priority")]
         if chosen is not None:
             errors.append(F.when(~pri.isin(sorted(chosen)), F.lit(DROPPED)))
-        errors += [F.when(text.rlike(r"^\d"), F.lit("syslog: only the older protocol is read")), error]
+        errors += [F.when(p["newer"], F.lit("syslog: only the older protocol is read")), error]
         return {**values, "syslog_facility": F.floor(pri / 8).cast("string"), "syslog_severity": (pri % 8).cast("string")}, F.coalesce(*errors)
 
-    return Filter("syslog_packet", _syslog_contract(Assertion("syslog_facility", "literal"), Assertion("syslog_severity", "literal")), transform)
+    parsed = F.struct(head.alias("pri"), text.rlike(r"^\d").alias("newer"), _bsd_parsed(text).alias("line"))
+    return Filter("syslog_packet", _syslog_contract(Assertion("syslog_facility", "literal"), Assertion("syslog_severity", "literal")), transform, parsed)
 
 
 @register("filter", "dt_rfc2822")
@@ -171,13 +195,12 @@ _MYSQL = r"^(\d{6}) +(\d{1,2}:\d\d:\d\d)\s+(.*)$"
 def mysql_server() -> Filter:
     """``YYMMDD HH:MM:SS text``: the time is the event's, the text its message. Other lines pass as they are."""
 
-    def transform(df: DataFrame):
-        date = F.concat_ws(" ", _group(_MYSQL, 1), F.lpad(_group(_MYSQL, 2), 8, "0"))
-        ts = F.try_to_timestamp(date, F.lit("yyMMdd HH:mm:ss")).cast("timestamp_ntz")
-        dated = F.col(_MESSAGE).rlike(_MYSQL)
-        return {"ts": F.when(dated, ts).otherwise(F.col("ts")), _MESSAGE: F.when(dated, _group(_MYSQL, 3)).otherwise(F.col(_MESSAGE))}, F.when(dated & ts.isNull(), F.lit("mysql_server: no such date"))
+    def transform(df: DataFrame, p: Column):
+        date = F.concat_ws(" ", F.get(p, F.lit(0)), F.lpad(F.get(p, F.lit(1)), 8, "0"))
+        ts, dated = F.try_to_timestamp(date, F.lit("yyMMdd HH:mm:ss")).cast("timestamp_ntz"), p.isNotNull()
+        return {"ts": F.when(dated, ts).otherwise(F.col("ts")), _MESSAGE: F.when(dated, F.get(p, F.lit(2))).otherwise(F.col(_MESSAGE))}, F.when(dated & ts.isNull(), F.lit("mysql_server: no such date"))
 
-    return Filter("mysql_server", _contract(), transform)
+    return Filter("mysql_server", _contract(), transform, _matched(F.col(_MESSAGE), _MYSQL, 3))
 
 
 @register("filter", "nagios")
@@ -186,29 +209,36 @@ def nagios() -> Filter:
     fields = [("nagios_host", "text"), ("nagios_service", "text"), ("nagios_status", "text"), ("nagios_state", "text"), ("nagios_attempt", "int")]
     contract = Contract(Assertion("nagios_evtype", "literal"), *(Assertion(n, t, guarantees=False) for n, t in fields), sign=True)
 
-    def transform(df: DataFrame):
-        line = r"^\[([^\]]*)\]([^:]*):(.*)$"
-        evtype, rest = F.trim(_group(line, 2)), F.trim(_group(line, 3))
-        seconds = F.regexp_extract(F.col(_MESSAGE), r"^\[([^\]]*)\]", 1).try_cast("double")
-        host, service = evtype == "HOST ALERT", evtype == "SERVICE ALERT"
-        a, b = F.split(rest, ";", 5), F.split(rest, ";", 6)
-        at = lambda i, j: F.when(host, F.get(a, F.lit(i))).when(service, F.get(b, F.lit(j)))
+    message = F.col(_MESSAGE)
+    close = F.locate("]", message)
+    inside = F.when(message.startswith("[") & (close > 0), F.substring(message, F.lit(2), close - 2))
+    after = F.substr(message, close + 1)
+    colon = F.locate(":", after)
+    rest = F.trim(F.substr(after, colon + 1))
+    parsed = F.struct(inside.try_cast("double").alias("seconds"), F.when(inside.isNotNull() & (colon > 0), F.trim(F.substring(after, F.lit(1), colon - 1))).alias("evtype"), rest.alias("rest"), F.split(rest, ";", 6).alias("parts"))
+
+    def transform(df: DataFrame, p: Column):
+        evtype, parts = p["evtype"], p["parts"]
+        host, service, plain = evtype == "HOST ALERT", evtype == "SERVICE ALERT", evtype.isin("Error", "Warning")
+        part = lambda i: F.get(parts, F.lit(i))
+        at = lambda i, j: F.when(host, part(i)).when(service, part(j))
         attempt = at(3, 4).try_cast("bigint")
-        plain = evtype.isin("Error", "Warning")
-        complete = F.when(host, F.size(a) == 5).when(service, F.size(b) == 6)
+        # a host's text may hold semicolons: the fifth part and what was cut off it
+        text = F.when(host, F.concat_ws(";", part(4), part(5))).when(service, part(5))
+        complete = F.when(host, F.size(parts) >= 5).otherwise(F.size(parts) == 6)
         error = F.coalesce(
-            _unless(seconds.isNotNull(), "nagios: the line doesn't begin with a time"),
-            F.when(~F.col(_MESSAGE).rlike(line) | ~(host | service | plain), F.lit(DROPPED)),
+            _unless(p["seconds"].isNotNull(), "nagios: the line doesn't begin with a time"),
+            _unless(host | service | plain, DROPPED),
             F.when((host | service) & ~(complete & attempt.isNotNull()), F.lit("nagios: the alert has another format")),
         )
         values = {
-            "ts": F.timestamp_micros((seconds * 1_000_000).try_cast("bigint")),
-            "nagios_evtype": evtype, "nagios_host": at(0, 0), "nagios_service": F.when(service, F.get(b, F.lit(1))), "nagios_status": at(1, 2), "nagios_state": at(2, 3), "nagios_attempt": attempt,
-            _MESSAGE: F.when(plain, rest).otherwise(at(4, 5)),
+            "ts": _utc(F.timestamp_micros((p["seconds"] * 1_000_000).try_cast("bigint"))),
+            "nagios_evtype": evtype, "nagios_host": at(0, 0), "nagios_service": F.when(service, part(1)), "nagios_status": at(1, 2), "nagios_state": at(2, 3), "nagios_attempt": attempt,
+            _MESSAGE: F.when(plain, p["rest"]).otherwise(text),
         }
-        return values | {"ts": _utc(values["ts"])}, error
+        return values, error
 
-    return Filter("nagios", contract, transform)
+    return Filter("nagios", contract, transform, parsed)
 
 
 @register("filter", "regex")

@@ -149,7 +149,7 @@ def landing_folder(spark: SparkSession, path: str, name: str = "folder", hostnam
 def collect(spark: SparkSession, path: str, schema: str, stream: bool = True, format: str = "parquet") -> DataFrame:
     """Events that other servers forward into a shared folder (see sources.store.forward)."""
     reader = spark.readStream if stream else spark.read
-    return reader.format(format).schema(schema).load(path)
+    return reader.format(format).schema(schema).option("recursiveFileLookup", True).load(path)
 
 
 CSV = ["ts", "input", "hostname", "id", "default"]

@@ -12,6 +12,7 @@ from .. import plugins
 from ..operators import filters as _filters  # noqa: F401 (registers filters)
 from ..operators.filters import DROPPED, Filter
 from ..settings import Settings
+from ..sources.store import stream_id
 from .contracts import Contract, chain
 
 log = logging.getLogger(__name__)
@@ -65,11 +66,12 @@ class Route:
             every = self.run(df).persist()
             try:
                 good = every.filter(F.col("error").isNull()).drop("error", *(a.column for a in self.contract if a.ephemeral))
+                stream = None if batch is None else stream_id(events.sparkSession, checkpoint)
                 for s in stores:
-                    s.append(good, self.types(), segment=batch)
+                    s.append(good, self.types(), stream, batch)
                 if rejects:
                     bad = every.filter(F.col("error").isNotNull() & (F.col("error") != DROPPED))
-                    bad.select("ts", "input", "hostname", "message", "error").write.mode("overwrite" if batch is not None else "append").parquet(rejects if batch is None else f"{rejects}/batch={batch}")
+                    bad.select("ts", "input", "hostname", "message", "error").write.mode("append" if stream is None else "overwrite").parquet(rejects if stream is None else f"{rejects}/stream={stream}/batch={batch}")
             finally:
                 every.unpersist()
 

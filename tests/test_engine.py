@@ -13,7 +13,7 @@ from siltlog.plans.ast import All, And, Not, Or, Term
 from siltlog.plans.catalog import Catalog, Index
 from siltlog.plans.compiler import compile_query
 from siltlog.queries import ORACLES, QUERIES
-from siltlog.sources.files import TailReader, landing_folder, load_csv, save_csv
+from siltlog.sources.files import TailReader, collect, landing_folder, load_csv, save_csv
 from siltlog.sources.store import Store, forward
 from siltlog.streaming.routes import Route
 from siltlog.streaming.tail import start, tail_stream
@@ -101,7 +101,7 @@ def test_tail(spark, index, tmp_path):
     assert sorted(seen) == [1, 3, 5, 7, 9]
 
 
-LINE = '10.0.0.1 - frank [10/Oct/2000:13:55:36 -0700] "GET /a.gif HTTP/1.0" 200 2326'
+LINE = '10.0.0.1 - bob [10/Oct/2000:13:55:36 -0700] "GET /a.gif HTTP/1.0" 200 2326'
 
 
 def lines(spark, *texts):
@@ -111,7 +111,7 @@ def lines(spark, *texts):
 def test_route_to_store_and_back(spark, tmp_path):
     folder = tmp_path / "logs"
     folder.mkdir()
-    (folder / "a.log").write_text(LINE + "\n\nnonsense\n" + LINE.replace("frank", "anna") + "\n")
+    (folder / "a.log").write_text(LINE + "\n\nnonsense\n" + LINE.replace("bob", "anna") + "\n")
     route = Route("web", [filters.apache_common(), filters.dt_expander()])
     store = Store(spark, str(tmp_path / "store"), "web")
     for _ in range(2):  # the second query finds nothing new
@@ -119,7 +119,7 @@ def test_route_to_store_and_back(spark, tmp_path):
         q.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "bad")).select("message").collect()[0].message == "nonsense"
     e = Engine(spark, Catalog(store.index()))
-    got = e.iter_events("remoteuser=frank AND status=ge(200) AND remotehost='10.0.0.1' WHERE DATE FROM 2000/10/10 TO 2000/10/11").data.collect()
+    got = e.iter_events("remoteuser=bob AND status=ge(200) AND remotehost='10.0.0.1' WHERE DATE FROM 2000/10/10 TO 2000/10/11").data.collect()
     assert len(got) == 1 and got[0].fields["dt_weekday"] == "1" and got[0].evid.ts == 971211336
     assert e.show_index("web")["index_size"] == 2
     plan = e.iter_events("GET WHERE DATE FROM 2000/10/10 TO 2000/10/11").data._jdf.queryExecution().executedPlan().toString()
@@ -195,3 +195,54 @@ def test_registered_queries(spark):
     assert set(ORACLES) <= set(QUERIES) and len(QUERIES) > 70
     for name in ("phrase", "multi_index_union", "nagios", "retention_newest"):
         assert QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_lines_are_matched_once(spark):
+    for name, most in [("apache_combined", 2), ("syslog_lines", 4), ("syslog_packets", 9), ("nagios", 0)]:
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert sum(plan.lower().count(x) for x in ("regexp_", "rlike")) <= most and plan.count("split(") <= 1, name
+
+
+def test_streams_share_a_store(spark, index, tmp_path):
+    store = Store(spark, str(tmp_path / "s"), "s", rotation=8)
+    route = Route("lines", [])
+    for name in "ab":
+        folder = tmp_path / name
+        folder.mkdir()
+        (folder / "x.log").write_text("".join(f"{name} {i}\n" for i in range(4)))
+        route.store(landing_folder(spark, str(folder), name, "h"), store, checkpoint=str(tmp_path / f"cp-{name}"), availableNow=True).awaitTermination()
+    assert store.index().df.count() == 8
+    # a new checkpoint begins again at batch 0 and replaces nothing
+    route.store(landing_folder(spark, str(tmp_path / "a"), "a", "h"), store, checkpoint=str(tmp_path / "cp-a2"), availableNow=True).awaitTermination()
+    df = store.index().df
+    assert df.count() == 12 and df.select("evid_offset").distinct().count() == 12
+    assert store.segments() == [0, 1] and store.head()["count"] == 4
+    # a batch that is tried again replaces itself, whatever came between
+    three = index.df.filter("evid_offset <= 3").select("ts", "input", "hostname", "message")
+    for _ in range(2):
+        store.append(three, stream="q", batch=0)
+        store.append(three)
+    df = store.index().df
+    assert df.count() == 12 + 3 + 6 and df.select("evid_offset").distinct().count() == 21
+    # numbered events are told apart by their ids
+    for _ in range(2):
+        store.append(index.df.select("ts", F.col("evid_offset") + 1000, "input", "hostname", "message").toDF("ts", "evid_offset", "input", "hostname", "message"), numbered=True)
+    assert store.index().df.count() == 31 and store.head()["offset"] == 1010
+
+
+def test_forward_tries_again(spark, index, tmp_path):
+    from siltlog.stats import Stats
+
+    stats, blocked = Stats(), tmp_path / "peer"
+    blocked.write_text("a file where the folder should be")
+    with pytest.raises(Exception):
+        forward(index.df, str(blocked / "x"), tries=2, backoff=0.01, stats=stats)
+    assert stats.get("forward.retries") == 2 and stats.get("forward.forwardedevents") == 0
+    src, out = str(tmp_path / "src"), str(tmp_path / "out")
+    index.df.write.parquet(src)
+    live = spark.readStream.schema(index.df.schema).parquet(src)
+    forward(live, out, str(tmp_path / "cp"), stats=stats, availableNow=True).awaitTermination()
+    forward(live, out, str(tmp_path / "cp"), stats=stats, availableNow=True).awaitTermination()
+    assert stats.get("forward.forwardedevents") == 10
+    back = collect(spark, out, COLUMNS, stream=False)
+    assert back.count() == 10 and sorted(back.columns) == sorted(index.df.columns)
