@@ -1,20 +1,26 @@
 """Near-duplicate join by Jaccard similarity of word n-gram sets, over token-combination prefixes.
 
-Tokens are hashed word n-grams; the global order puts rare tokens first, by hash, then frequent ones, by hash. Let a document have
-r rare tokens of n, and let p = n - ceil(t n) + 1 be its prefix length at threshold t. Similar documents have an overlap of at
-least o = t/(1+t) (n1 + n2).
+Tokens are hashed word n-grams. How many documents have each is counted in ranges of tokens, and the counts go back to the
+documents by the same way, so no list of tokens is gathered anywhere. A token that FREQUENT documents have is frequent. The global
+order puts rare tokens first, by hash, then frequent ones. Let a document have r rare tokens of n, f frequent ones, and let
+p = n - ceil(t n) + 1 be its prefix length at threshold t. Similar documents have an overlap c of at least o = t/(1+t) (n1 + n2).
 
 * The first m = min(r, p) tokens are indexed singly. Of the common tokens, at most max(n1 - m1, n2 - m2) are not among those
-  that both have indexed. So a pair is a candidate if it shares o less that many indexed tokens, and one at least. (This is a
-  prefix extended to as many tokens as must be shared, for each pair by its sizes.)
-* A similar pair that shares no rare token has r < p in both, and all its common tokens are frequent. Their prefixes are extended
-  over all frequent tokens. Each token that only one of them has parts two successive common tokens at most, so
-  3 o - 1 - (f1 + f2) or more combinations of k = 2 neighbouring frequent tokens are in both, f being the frequent tokens of
-  each: one at least for t > 1/2 and all but tiny sets. So combinations are indexed, but for those that a
-  document may leave out: the most frequent ones, fewer than any partner must share with it. (Tiny sets index the frequent tokens
-  of their prefix singly.) Only documents with r < p index combinations, so passages shared by unrelated documents make no candidates.
-
-Both parts are exact: no list is capped. Candidates are verified on whole sets."""
+  that both have indexed. So a pair is a candidate if it shares o less that many indexed tokens, and one at least.
+* A similar pair that shares no rare token has r < p in both, and all its common tokens are frequent. Take the u = f1 + f2 - c frequent
+  tokens of either, by hash. Of the u - 3 windows of four, 2 c - u - 3 or more hold three common tokens; of three tokens in a window two at
+  least are next to each other, in both documents too. So documents with r < p index
+  - each two neighbouring frequent tokens (k = 2), unless both are so frequent that unrelated documents have them together: then
+  - each three frequent tokens within four neighbouring ones (k = 3) that hold such a hot pair of neighbours.
+  If the two that are neighbours in the window aren't hot, both documents index them; if they are, both index the three.
+  A combination stands in three windows at most, so (3 o - f1 - f2 - 3)/3 or more are in both, and a document may leave out
+  the most frequent ones, fewer than any partner must share with it.
+* Where that is less than one, both sets are tiny. They share two tokens at least among the first p + 1 (rare ones first, then
+  by frequency), and index all pairs of frequent ones among these.
+
+All parts are exact: no list is capped. Lists longer than LONG are cut to blocks, and pairs of blocks are dealt to tasks. Candidates are
+verified on whole sets. Tokens are compared by 48 bits of their hashes, sets are told apart by 64: two different tokens or sets
+are taken for one with chances of 2^-48 and 2^-64."""
 
 from __future__ import annotations
 
@@ -22,6 +28,8 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,13 +40,17 @@ from .util import cut_lineage, fresh, id_key, shuffle_width, text_of
 N, THRESHOLD = 2, 0.6
 #: Documents from which a token counts as frequent. It only moves work between the two kinds of index.
 FREQUENT = 8
-#: Frequent tokens sent to each task; with more, the bound FREQUENT is doubled until they fit.
-MAX_FREQUENT = 8_000_000
+#: A pair of neighbours is hot if so many unrelated documents are expected to have both.
+HOT = 32
+#: Tokens that a task indexes together, and tokens in a range; the number of ranges follows from the input.
+CHUNK_TOKENS, RANGE_TOKENS = 1_000_000, 2_000_000
+#: Entries of a posting list that are paired in one place.
+LONG = 2048
 #: Sets in a connected part of the candidates up to which it is verified in one place.
-LARGE_PART = 20_000
+LARGE_PART = 5_000
 #: Bits of the filter that keeps documents with candidates; a fuller filter only passes more documents on.
 FILTER_BITS = 1 << 27
-_40, _48 = U((1 << 40) - 1), U((1 << 48) - 1)
+_48 = U((1 << 48) - 1)
 
 
 def gram_sets(texts: list, n: int = N) -> tuple[np.ndarray, np.ndarray]:
@@ -85,27 +97,7 @@ def prefix_length(size: int, t: float) -> int:
     return size - math.ceil(t * size - 1e-9) + 1
 
 
-def pack_sorted(x: np.ndarray, width: int) -> bytes:
-    """Sorted numbers as planes of the bytes of their differences; the high planes are nearly empty and compress well."""
-    return np.ascontiguousarray(low_bytes(np.diff(x, prepend=U(0)), width).T).tobytes()
-
-
-def unpack_sorted(blob: bytes, width: int) -> np.ndarray:
-    planes = np.frombuffer(blob, np.uint8).reshape(width, -1)
-    return np.cumsum(from_bytes(np.ascontiguousarray(planes.T).ravel(), width), dtype=np.uint64)
-
-
-def pack_postings(rows: np.ndarray) -> bytes:
-    """Posting rows, ordered by token: differences of the tokens, and the other bytes, plane by plane."""
-    token = from_bytes(np.ascontiguousarray(rows[:, :6]).ravel(), 6)
-    order = np.argsort(token, kind="stable")
-    return pack_sorted(token[order], 6) + np.ascontiguousarray(rows[order, 6:].T).tobytes()
-
-
-def unpack_postings(blob: bytes, width: int) -> np.ndarray:
-    raw = np.frombuffer(blob, np.uint8).reshape(width, -1)
-    token = np.cumsum(from_bytes(np.ascontiguousarray(raw[:6].T).ravel(), 6), dtype=np.uint64)
-    return np.concatenate([low_bytes(token, 6), raw[6:].T], axis=1)
+# --- columns of numbers as compressed bytes ---------------------------------------------------------------------------------------
 
 
 def low_bytes(x: np.ndarray, width: int) -> np.ndarray:
@@ -118,6 +110,37 @@ def from_bytes(blob: np.ndarray, width: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def pack(*columns: tuple[np.ndarray, int]) -> bytes:
+    """Columns of numbers, each with a width in bytes: their lengths, then plane by plane."""
+    head = np.array([len(x) for x, _ in columns], np.uint32).tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(np.ascontiguousarray(low_bytes(x.astype(np.uint64, copy=False), w).T).tobytes() for x, w in columns))
+
+
+def unpack(blob, *widths: int) -> list[np.ndarray]:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
+    lengths = raw[: 4 * len(widths)].view(np.uint32)
+    out, at = [], 4 * len(widths)
+    for n, w in zip(lengths.tolist(), widths):
+        out.append(from_bytes(np.ascontiguousarray(raw[at : at + n * w].reshape(w, n).T).ravel(), w))
+        at += n * w
+    return out
+
+
+def steps(x: np.ndarray) -> np.ndarray:
+    """Differences of sorted numbers; np.cumsum undoes it."""
+    return np.diff(x, prepend=U(0))
+
+
+def _blobs(table: pa.Table, column: str = "blob") -> list[bytes]:
+    return [x.as_buffer().to_pybytes() for x in table.column(column)]
+
+
+def _slices(x: np.ndarray, ranges: int) -> np.ndarray:
+    """Where the ranges of sorted 48-bit numbers begin, and the end."""
+    edges = np.array([-(-(i << 48) // ranges) for i in range(1, ranges)], np.uint64)
+    return np.concatenate([[0], np.searchsorted(x, edges), [len(x)]])
+
+
 def _token_sets(batches, n):
     for b in batches:
         texts = b.column(0).to_pylist()
@@ -125,151 +148,200 @@ def _token_sets(batches, n):
             yield gram_sets(texts[lo:hi], n)
 
 
-class Blobs:
-    """Collects rows of bytes by range and gives them out as record batches."""
-
-    def __init__(self, ranges: int, limit: int = 24_000_000, pack=lambda rows: rows.tobytes()):
-        self.ranges, self.limit, self.parts, self.size, self.pack = ranges, limit, [], 0, pack
-
-    def add(self, token: np.ndarray, rows: np.ndarray):
-        self.parts.append((((token >> U(20)) & U((1 << 20) - 1)).astype(np.int64) * self.ranges >> 20, rows))
-        self.size += rows.size
-        if self.size >= self.limit:
-            yield from self.flush()
-
-    def flush(self):
-        if not self.size:
-            return
-        where = np.concatenate([w for w, _ in self.parts])
-        rows = np.concatenate([r for _, r in self.parts])
-        self.parts, self.size = [], 0
-        order = np.argsort(where, kind="stable")
-        where, rows = where[order], rows[order]
-        cuts = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1], [True]]))
-        yield pa.RecordBatch.from_arrays([pa.array(where[cuts[:-1]], pa.int32()), pa.array([self.pack(rows[a:b]) for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())], names=["part", "blob"])
-
-
-def frequent_tokens(texts: DataFrame, n: int, at_least: int, ranges: int) -> tuple[np.ndarray, np.ndarray]:
-    """The low 40 bits of tokens that at least so many documents have, sorted, and how many have them. Every token of every
-    document is counted."""
-
-    def pack(batches):
-        blobs = Blobs(ranges, pack=lambda rows: pack_sorted(np.sort(rows), 5))
-        for tokens, _ in _token_sets(batches, n):
-            yield from blobs.add(tokens, tokens & _40)
-        yield from blobs.flush()
-
-    def count_table(table: pa.Table) -> pa.Table:
-        t = np.sort(np.concatenate([unpack_sorted(x.as_buffer(), 5) for x in table.column("blob")]))
-        cuts = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1], [True]])) if len(t) else np.zeros(1, np.int64)
-        runs = np.diff(cuts)
-        big = runs >= at_least
-        return pa.table({"token": pa.array(t[cuts[:-1][big]].astype(np.int64)), "docs": pa.array(runs[big].astype(np.int64))})
-
-    counted = cut_lineage(texts.mapInArrow(pack, "part int, blob binary").groupBy("part").applyInArrow(count_table, "token long, docs long"))
-    bound = at_least
-    while counted.where(F.col("docs") >= bound).count() > MAX_FREQUENT:
-        bound *= 2
-    found = counted.where(F.col("docs") >= bound).toArrow()
-    tokens, docs = found.column("token").to_numpy(), found.column("docs").to_numpy()
-    order = np.argsort(tokens)
-    return tokens[order].astype(np.uint64), docs[order]
-
-
-class Known:
-    """Membership in a sorted array of 40-bit tokens, through a bitmap first."""
-
-    def __init__(self, sorted_tokens: np.ndarray, docs: np.ndarray):
-        self.tokens = sorted_tokens
-        self.heat = np.log2(np.maximum(docs, 1)).astype(np.float32)
-        self.mask = U((1 << max(16, min(26, int(len(sorted_tokens) * 16).bit_length()))) - 1)
-        self.bits = np.zeros(int(self.mask) + 1, dtype=bool)
-        self.bits[(sorted_tokens & self.mask).astype(np.int64)] = True
-
-    def hot(self, tokens: np.ndarray) -> np.ndarray:
-        """Of tokens that are members: the logarithm of how many documents have each."""
-        return self.heat[np.searchsorted(self.tokens, tokens & _40)]
-
-    def __call__(self, tokens: np.ndarray) -> np.ndarray:
-        out = self.bits[(tokens & self.mask).astype(np.int64)]
-        maybe = np.flatnonzero(out)
-        if len(maybe):
-            low = tokens[maybe] & _40
-            at = np.searchsorted(self.tokens, low)
-            at[at == len(self.tokens)] = 0
-            out[maybe] = self.tokens[at] == low
-        return out
-
-
-#: Bytes of a posting: token 6, set 8, size of the set 3, indexed tokens 3; and for combinations the token before, 4.
-RARE, COMBO = 20, 24
+# --- how many documents have each token ---------------------------------------------------------------------------------------------
+
+
+def _ask(batches, n: int, ranges: int, at_once: int):
+    """(part, chunk, kind, blob): ``at_once`` tokens by range (kind 0), each with its owner, and the sets' ids and sizes (kind 1).
+    Of equal sets in a task one is sent."""
+    seen: set[int] = set()
+    base, number = TaskContext.get().partitionId() << 24, 0
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    ids: list[np.ndarray] = []
+    sizes: list[np.ndarray] = []
+    count = size = 0
+
+    def give():
+        tokens, owner = (np.concatenate(x) for x in zip(*held))
+        order = np.argsort(tokens)
+        tokens, owner = tokens[order], owner[order]
+        cuts = _slices(tokens, ranges)
+        some = np.flatnonzero(cuts[1:] > cuts[:-1])
+        blobs = [pack((steps(tokens[a:b]), 6), (owner[a:b], 3)) for a, b in zip(cuts[some], cuts[some + 1])] + [pack((np.concatenate(ids), 8), (np.concatenate(sizes), 4))]
+        parts = [*some.tolist(), number % ranges]
+        return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array([base + number] * len(parts), pa.int64()), pa.array([0] * len(some) + [1], pa.int32()), pa.array(blobs, pa.binary())], names=["part", "chunk", "kind", "blob"])
+
+    for tokens, bounds in _token_sets(batches, n):
+        sid, lengths = set_ids(tokens, bounds), np.diff(bounds)
+        new = np.array([k for k, (i, m) in enumerate(zip(sid.tolist(), lengths.tolist())) if m and i not in seen and not seen.add(i)], np.int64)
+        if not len(new):
+            continue
+        keep = np.zeros(len(sid), bool)
+        keep[new] = True
+        held.append((tokens[np.repeat(keep, lengths)] & _48, np.repeat(np.arange(count, count + len(new)), lengths[new])))
+        ids.append(sid[new])
+        sizes.append(lengths[new])
+        count, size = count + len(new), size + len(held[-1][0])
+        if size >= at_once:
+            yield give()
+            number, count, size, held, ids, sizes = number + 1, 0, 0, [], [], []
+    if held:
+        yield give()
+
+
+def _answer(table: pa.Table, frequent: int) -> pa.Table:
+    """What came, with the heat of each token: 8 times the logarithm of how many sets have it; 0 for rare ones. A set that several tasks
+    sent counts as often."""
+    kinds = table.column("kind").to_numpy()
+    rows = np.flatnonzero(kinds == 0)
+    blobs = _blobs(table)
+    tokens = [np.cumsum(unpack(blobs[i], 6, 3)[0], dtype=np.uint64) for i in rows]
+    heats: list = [None] * len(kinds)
+    if len(rows):
+        every = np.concatenate(tokens)
+        order = np.argsort(every)
+        ranked = every[order]
+        runs = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+        counts = np.diff(np.append(runs, len(ranked)))
+        heat = np.where(counts >= frequent, np.minimum(255, np.rint(8 * np.log2(counts))), 0).astype(np.uint64)
+        of = np.empty(len(every), np.uint64)
+        of[order] = np.repeat(heat, counts)
+        at = 0
+        for i, t in zip(rows, tokens):
+            heats[i] = pack((of[at : at + len(t)], 1))
+            at += len(t)
+    return pa.table({"chunk": table.column("chunk"), "kind": table.column("kind"), "blob": pa.array(blobs, pa.binary()), "heat": pa.array(heats, pa.binary())})
+
+
+# --- the index ----------------------------------------------------------------------------------------------------------------------
+
 #: Sizes are kept up to here; a pair with a larger set is a candidate once it shares a token.
 LARGE = (1 << 24) - 1
 #: Counts as sharing enough.
 PLENTY = (1 << 24) - 1
-#: The token before, where there is none or its combination is left out.
-NONE_BEFORE = mix64(np.zeros(1, np.uint64))[0] & U(0xFFFFFFFF)
 
 
 def tiny_sets(t: float) -> int:
-    """Sizes up to which a pair of sets may have no two common tokens next to each other in both; these index frequent tokens singly."""
-    return int((1 + t) / (2 * t - 1) + 1e-9)
+    """Sizes up to which a pair of sets may have no window with three common tokens."""
+    return int(4 / (2 * t - 1) + 1e-9)
 
 
-def left_out(size: int, frequent: int, t: float) -> int:
-    """Combinations that a set may leave out: one less than any similar set, at least t times as large, must share with it."""
+def left_out(size: np.ndarray, frequent: np.ndarray, t: float) -> np.ndarray:
+    """Combinations that sets may leave out: one less than any similar set, at least t times as large, must share with each."""
     a = 3 * t / (1 + t)
-    return max(0, math.ceil((a - 1) * t * size + a * size - frequent - 1 - 1e-9) - 1)
-
-
-def postings(tokens: np.ndarray, bounds: np.ndarray, known: Known, t: float):
-    """(token, row) arrays of the single and of the combined index."""
-    ids, frequent, sizes = set_ids(tokens, bounds), known(tokens), np.diff(bounds)
-    single, s_owner, combo, c_before, c_owner = [], [], [], [], []
-    indexed = np.zeros(len(ids), np.int64)
-    tiny = tiny_sets(t)
-    for d in range(len(ids)):
-        a, b = bounds[d], bounds[d + 1]
-        if a == b:
-            continue
-        f = frequent[a:b]
-        own = tokens[a:b]
-        rare = own[~f]
-        p = prefix_length(int(b - a), t)
-        single.append(rare[:p])
-        indexed[d] = len(single[-1])
-        s_owner.append(np.full(indexed[d], d))
-        if len(rare) < p:
-            freq = own[f]
-            if len(own) <= tiny:
-                single.append(freq[: p - len(rare)])
-                s_owner.append(np.full(len(single[-1]), d))
-                indexed[d] += len(single[-1])
-            if len(freq) < 2:
-                continue
-            pairs = mix64(freq[:-1] * U(0xD6E8FEB86659FD93) + mix64(freq[1:] + U(1)))
-            before = np.concatenate([[U(0)], freq[: len(pairs) - 1]])
-            gone = left_out(len(own), len(freq), t) if len(own) > tiny else 0
-            if gone:
-                heat = known.hot(freq)
-                keep = np.ones(len(pairs), bool)
-                keep[np.lexsort((pairs, heat[:-1] + heat[1:]))[max(0, len(pairs) - gone) :]] = False
-                before[~np.concatenate([[True], keep[:-1]])] = U(0)
-                pairs, before = pairs[keep], before[keep]
-            combo.append(pairs)
-            c_before.append(before)
-            c_owner.append(np.full(len(pairs), d))
-    out = []
-    for toks, owners, before in ((single, s_owner, None), (combo, c_owner, c_before)):
-        if not toks or not sum(map(len, toks)):
-            out.append(None)
-            continue
-        x, o = np.concatenate(toks), np.concatenate(owners)
-        cols = [low_bytes(x, 6), low_bytes(ids[o], 8), low_bytes(np.minimum(sizes[o], LARGE), 3), low_bytes(np.minimum(indexed[o], LARGE), 3)]
-        if before is not None:
-            cols.append(low_bytes(mix64(np.concatenate(before)), 4))
-        out.append((x, np.concatenate(cols, axis=1)))
-    return out
+    return np.maximum(0, np.ceil(((a - 1) * t * size + a * size - frequent - 3) / 3 - 1e-9) - 1).astype(np.int64)
+
+
+def _within(owner: np.ndarray) -> np.ndarray:
+    """Places within the runs of an owner."""
+    if not len(owner):
+        return np.zeros(0, np.int64)
+    begin = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+    return np.arange(len(owner)) - np.repeat(begin, np.diff(np.append(begin, len(owner))))
+
+
+def _pair_of(x, y):
+    return mix64(x * U(0xD6E8FEB86659FD93) + mix64(y + U(1))) & _48
+
+
+def _triple_of(x, y, z):
+    return mix64(_pair_of(x, y) * U(0x9E3779B97F4A7C15) + mix64(z + U(2))) & _48
+
+
+def postings(tokens: np.ndarray, owner: np.ndarray, heat: np.ndarray, sizes: np.ndarray, t: float, total: int, together: int):
+    """For the single and the combined index: tokens or combinations, their owners, and what stands before (0 for nothing); and how
+    many tokens each set has indexed singly. ``total``: how many sets there are, about; ``together``: see HOT."""
+    p = sizes - np.ceil(t * sizes - 1e-9).astype(np.int64) + 1
+    order = np.lexsort((tokens, heat > 0, owner))
+    tokens, owner, heat = tokens[order], owner[order], heat[order].astype(np.int64)
+    often = heat > 0
+    rare = np.bincount(owner[~often], minlength=len(sizes))
+    first = ~often & (_within(owner) < p[owner])
+    single, indexed = (tokens[first], owner[first]), np.minimum(rare, p)
+    few = rare < p
+    x, o, h = (c[often & few[owner]] for c in (tokens, owner, heat))
+    frequent = np.bincount(o, minlength=len(sizes))
+    logs = 8 * math.log2(max(2, total))
+    # neighbours: same(d) tells whether the token d places on is of the same set
+    same = lambda d: np.concatenate([o[d:] == o[:-d], np.zeros(min(d, len(o)), bool)]) if len(o) else np.zeros(0, bool)
+    on = lambda c, d: np.concatenate([c[d:], np.zeros(min(d, len(c)), c.dtype)])
+    s1, s2, s3 = same(1), same(2), same(3)
+    x1, x2, x3, h1, h2, h3 = on(x, 1), on(x, 2), on(x, 3), on(h, 1), on(h, 2), on(h, 3)
+    hot = s1 & (h + h1 - logs > 8 * math.log2(together))
+    hot1, hot2 = on(hot, 1), on(hot, 2)
+    made = []  # combination, place where it begins, heat, kind
+    for kind, good, sig, warm in (
+        (2, s1 & ~hot, _pair_of(x, x1), h + h1 - logs),
+        (3, s2 & (hot | hot1), _triple_of(x, x1, x2), h + h1 + h2 - 2 * logs),
+        (4, s3 & hot, _triple_of(x, x1, x3), h + h1 + h3 - 2 * logs),
+        (5, s3 & hot2, _triple_of(x, x2, x3), h + h2 + h3 - 2 * logs),
+    ):
+        at = np.flatnonzero(good)
+        made.append((sig[at], at, warm[at], np.full(len(at), kind)))
+    sig, at, warm, kind = (np.concatenate(c) for c in zip(*made))
+    gone = np.where(sizes > tiny_sets(t), left_out(sizes, frequent, t), 0)
+    hottest = np.lexsort((sig, -warm, o[at]))
+    keep = np.ones(len(sig), bool)
+    keep[hottest] = _within(o[at][hottest]) >= gone[o[at][hottest]]
+    sig, at, kind = sig[keep], at[keep], kind[keep]
+    # a pair of sets is taken where its common run of tokens begins: the combination before this one, if both sets have it, has the pair too
+    pair_there, triple_there = np.zeros(len(o) + 1, bool), np.zeros(len(o) + 1, bool)
+    pair_there[at[kind == 2]] = True
+    triple_there[at[kind == 3]] = True
+    prior = np.where(at > 0, at - 1, len(o))
+    before = np.where(kind == 2, np.where(pair_there[prior], x[prior - (prior == len(o))] if len(o) else at, 0), 0).astype(np.uint64)
+    if len(at):
+        linked = (kind > 2) & triple_there[prior]
+        before[linked] = _triple_of(x[prior[linked]], x[at[linked]], x1[at[linked]])
+    before = np.where(before > 0, np.maximum(mix64(before) & U(0xFFFFFFFF), U(1)), U(0))
+    owners = o[at]
+    small = np.flatnonzero(few & (sizes <= tiny_sets(t)) & (frequent > 1))
+    if len(small):
+        mine = np.isin(o, small)
+        y, q, g = x[mine], o[mine], h[mine]
+        order = np.lexsort((y, g, q))
+        y, q = y[order], q[order]
+        part = _within(q) < (p + 1 - rare)[q]
+        y, q = y[part], q[part]
+        extra, whose = [], []
+        for d in range(1, int(np.bincount(q).max(initial=1))):
+            both = np.flatnonzero(q[d:] == q[:-d])
+            extra.append(_pair_of(np.minimum(y[both], y[both + d]), np.maximum(y[both], y[both + d])))
+            whose.append(q[both])
+        if extra:
+            sig, owners = np.concatenate([sig, *extra]), np.concatenate([owners, *whose])
+            before = np.concatenate([before, np.zeros(len(sig) - len(before), np.uint64)])
+    return (*single, None), (sig, owners, before), indexed
+
+
+def _index(table: pa.Table, t: float, total: int, ranges: int, together: int) -> pa.Table:
+    """(kind, part, blob): postings of a chunk. Each blob names the sets that are in it."""
+    tokens, owner, heat = [], [], []
+    for kind, blob, hot in zip(table.column("kind").to_pylist(), _blobs(table), table.column("heat").to_pylist()):
+        if kind == 1:
+            ids, sizes = unpack(blob, 8, 4)
+        else:
+            a, b = unpack(blob, 6, 3)
+            tokens.append(np.cumsum(a, dtype=np.uint64))
+            owner.append(b.astype(np.int64))
+            heat.append(unpack(hot, 1)[0])
+    sizes = sizes.astype(np.int64)
+    *found, indexed = postings(np.concatenate(tokens), np.concatenate(owner), np.concatenate(heat), sizes, t, total, together)
+    rows = []
+    for kind, (sig, own, before) in enumerate(found):
+        order = np.lexsort((own, sig))
+        sig, own = sig[order], own[order]
+        before = np.zeros(0, np.uint64) if before is None else before[order]
+        cuts = _slices(sig, ranges)
+        for part in np.flatnonzero(cuts[1:] > cuts[:-1]):
+            a, b = cuts[part], cuts[part + 1]
+            who, number = np.unique(own[a:b], return_inverse=True)
+            rows.append((kind, int(part), pack((steps(sig[a:b]), 6), (number, 3), (before[a:b], 4), (ids[who], 8), (np.minimum(sizes[who], LARGE), 3), (np.minimum(indexed[who], LARGE), 3))))
+    kinds, parts, blobs = zip(*rows) if rows else ([], [], [])
+    return pa.table({"kind": pa.array(kinds, pa.int32()), "part": pa.array(parts, pa.int32()), "blob": pa.array(blobs, pa.binary())})
+
+
+# --- candidates ---------------------------------------------------------------------------------------------------------------------
 
 
 def _summed(held: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -283,78 +355,103 @@ def _summed(held: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return keys[cuts], np.add.reduceat(counts, cuts), needs[cuts]
 
 
-def candidates_of(rows: np.ndarray, width: int, t: float, parts: int = 1, limit: int = 8_000_000) -> pa.Table:
-    """Distinct pairs of sets in the posting lists of one range: how many tokens of the range they share, and how many they must
-    share over all ranges. For combinations a pair is taken only where its common run begins: had both the same token
-    before, the combination before holds the pair as well; one is enough."""
-    token, owner = from_bytes(np.ascontiguousarray(rows[:, :6]).ravel(), 6), from_bytes(np.ascontiguousarray(rows[:, 6:14]).ravel(), 8)
-    order = np.lexsort((owner, token))
-    token, owner, rows = token[order], owner[order], rows[order]
-    if len(token):
-        new = np.concatenate([[True], (token[1:] != token[:-1]) | (owner[1:] != owner[:-1])])  # copies have the same set
-        token, owner, rows = token[new], owner[new], rows[new]
-    first = np.concatenate([[True], token[1:] != token[:-1]]) if len(token) else np.zeros(0, bool)
-    begin = np.flatnonzero(first)
-    length = np.diff(np.concatenate([begin, [len(token)]]))
-    many = length > 1
-    begin, length = begin[many], length[many]
-    keep = np.zeros(len(token), bool)
-    keep[np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length) + np.repeat(begin, length)] = True
-    owner, rows = owner[keep], rows[keep]
-    begin = np.cumsum(length) - length
-    ids, number = np.unique(owner, return_inverse=True)
-    sizes, indexed = (from_bytes(np.ascontiguousarray(rows[:, i : i + 3]).ravel(), 3).astype(np.int64) for i in (14, 17))
-    before = from_bytes(np.ascontiguousarray(rows[:, 20:24]).ravel(), 4) if width == COMBO else None
-    held, size = [], 0
-
-    def take(i, j):
-        a, b = sizes[i], sizes[j]
-        large = np.maximum(a, b)
-        good = (np.minimum(a, b) >= t * large - 1e-9) | (large == LARGE)
-        if before is not None:
-            good &= (before[i] != before[j]) | (before[i] == NONE_BEFORE)
-        i, j = i[good], j[good]
-        a, b = sizes[i], sizes[j]
-        if before is None:
-            need = np.maximum(1, np.ceil(t / (1 + t) * (a + b) - 1e-9).astype(np.int64) - np.maximum(a - indexed[i], b - indexed[j]))
-            need[np.maximum(a, b) == LARGE] = 1
-            count = np.ones(len(i), np.int64)
-        else:
-            need, count = np.ones(len(i), np.int64), np.full(len(i), PLENTY)
-        i, j = number[i], number[j]
-        return (np.minimum(i, j).astype(np.int64) << 32) | np.maximum(i, j), count, need
-
-    def hold(got):
-        nonlocal held, size
-        held.append(got)
-        size += len(got[0])
-        if size > limit:
-            held = [_summed(held)]
-            size = len(held[0][0]) // 2
-
-    for n in np.unique(length):
+def _taken(a, b, ia, ib, before_a, before_b, t: float):
+    """Of pairs of sets with sizes a and b, of which ia and ib tokens are indexed: which are taken, what they count, and what they must count in all."""
+    large = np.maximum(a, b)
+    good = (np.minimum(a, b) >= t * large - 1e-9) | (large == LARGE)
+    if before_a is not None:
+        good &= (before_a != before_b) | (before_a == 0)
+        return good, np.full(len(a), PLENTY), np.ones(len(a), np.int64)
+    need = np.maximum(1, np.ceil(t / (1 + t) * (a + b) - 1e-9).astype(np.int64) - np.maximum(a - ia, b - ib))
+    need[large == LARGE] = 1
+    return good, np.ones(len(a), np.int64), need
+
+
+class Meeting:
+    """Collects pairs of numbered sets, with counts added up."""
+
+    def __init__(self, sizes, indexed, before, number, t, limit=8_000_000):
+        self.sizes, self.indexed, self.before, self.number, self.t, self.limit = sizes, indexed, before, number, t, limit
+        self.held, self.size = [], 0
+
+    def add(self, i, j):
+        """Postings i and j have one token."""
+        b = self.before
+        x, y = self.number[i], self.number[j]
+        good, count, need = _taken(self.sizes[x], self.sizes[y], self.indexed[x], self.indexed[y], None if b is None else b[i], None if b is None else b[j], self.t)
+        good &= x != y
+        x, y = x[good], y[good]
+        self.held.append(((np.minimum(x, y).astype(np.int64) << 32) | np.maximum(x, y), count[good], need[good]))
+        self.size += len(x)
+        if self.size > self.limit:
+            self.held = [_summed(self.held)]
+            self.size = len(self.held[0][0]) // 2
+
+    def pairs(self):
+        keys, counts, needs = _summed(self.held) if self.held else (np.zeros(0, np.int64),) * 3
+        return keys >> 32, keys & 0xFFFFFFFF, np.minimum(counts, PLENTY), needs
+
+
+def _meet(table: pa.Table, t: float, parts: int, block: int) -> pa.Table:
+    """(kind, part, blob) of the posting lists of one range: distinct pairs of sets, with how many tokens of the range they share and how many they
+    must share over all ranges (kind 0), and pairs of blocks of long lists (kind 1)."""
+    kind = table.column("kind")[0].as_py()
+    got, base = [], 0
+    for blob in _blobs(table):
+        sig, own, before, ids, sizes, indexed = unpack(blob, 6, 3, 4, 8, 3, 3)
+        got.append((np.cumsum(sig, dtype=np.uint64), own.astype(np.int64) + base, before, ids, sizes.astype(np.int64), indexed.astype(np.int64)))
+        base += len(ids)
+    token, own, before, ids, sizes, indexed = (np.concatenate(x) for x in zip(*got))
+    ids, at, same = np.unique(ids, return_index=True, return_inverse=True)  # tasks send copies of a set
+    sizes, indexed, own = sizes[at], indexed[at], same[own]
+    order = np.lexsort((own, token))
+    token, own, before = token[order], own[order], before[order] if kind else None
+    new = np.concatenate([[True], (token[1:] != token[:-1]) | (own[1:] != own[:-1])])
+    token, own, before = token[new], own[new], before[new] if kind else None
+    begin = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+    length = np.diff(np.append(begin, len(token)))
+    m = Meeting(sizes, indexed, before, own, t)
+    blocks = []
+    for n in np.unique(length[length > 1]):
         starts = begin[length == n]
-        if n <= 2048:
+        if n <= block:
             i, j = np.triu_indices(n, 1)
             step = max(1, 2_000_000 // len(i))
             for k in range(0, len(starts), step):
                 s = starts[k : k + step, None]
-                hold(take((s + i).ravel(), (s + j).ravel()))
-        else:  # a row of the triangle at a time
-            for s in starts:
-                for k in range(n - 1):
-                    hold(take(np.full(n - 1 - k, s + k), np.arange(s + k + 1, s + n)))
-    keys, counts, needs = _summed(held) if held else (np.zeros(0, np.int64),) * 3
-    return pack_pairs(ids, keys >> 32, keys & 0xFFFFFFFF, np.minimum(counts, PLENTY), needs, parts)
-
-
-def planes(x: np.ndarray, width: int) -> bytes:
-    """The low bytes of numbers, plane by plane."""
-    return np.ascontiguousarray(low_bytes(x.astype(np.uint64), width).T).tobytes()
+                m.add((s + i).ravel(), (s + j).ravel())
+            continue
+        for s in starts:
+            cut = []
+            for a in range(s, s + n, block):
+                b = min(a + block, s + n)
+                cut.append(pack((ids[own[a:b]], 8), (sizes[own[a:b]], 3), (indexed[own[a:b]], 3), (before[a:b] if kind else np.zeros(0, np.uint64), 4)))
+            blocks += [(x, cut[j] if j > i else None) for i, x in enumerate(cut) for j in range(i, len(cut))]
+    packed = pack_pairs(ids, *m.pairs(), parts)
+    one, two = zip(*blocks) if blocks else ([], [])
+    long = pa.table({"kind": pa.array([1] * len(one), pa.int32()), "part": pa.array([0] * len(one), pa.int32()), "blob": pa.array(one, pa.binary()), "other": pa.array(two, pa.binary())})
+    return pa.concat_tables([pa.table({"kind": pa.array([0] * len(packed), pa.int32()), "part": packed.column("part"), "blob": packed.column("pairs"), "other": pa.nulls(len(packed), pa.binary())}), long])
+
+
+def _meet_blocks(batches, t: float, parts: int):
+    """The pairs of two blocks of a list, or of one."""
+    for batch in batches:
+        for one, two in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            halves = [unpack(x, 8, 3, 3, 4) for x in (one, two) if x is not None]
+            ids, sizes, indexed, before = (np.concatenate(x) for x in zip(*halves))
+            n, k = len(halves[0][0]), len(halves[-1][0])
+            m = Meeting(sizes.astype(np.int64), indexed.astype(np.int64), before if len(before) else None, np.arange(len(ids)), t)
+            if two is None:
+                m.add(*np.triu_indices(n, 1))
+            else:
+                m.add(np.repeat(np.arange(n), k), np.tile(np.arange(n, n + k), n))
+            yield from pack_pairs(ids, *m.pairs(), parts).to_batches()
 
 
 def pack_pairs(ids: np.ndarray, a: np.ndarray, b: np.ndarray, counts: np.ndarray, needs: np.ndarray, parts: int) -> pa.Table:
-    """(part, blob): pairs dealt by the hash of their first set. A blob names each set once."""
+    """(part, pairs): pairs dealt by the hash of their lesser id. A blob names each set once."""
+    flip = ids[a] > ids[b]
+    a, b = np.where(flip, b, a), np.where(flip, a, b)
     part = (mix64(ids) % U(parts)).astype(np.int32)[a]
     order = np.argsort(part, kind="stable")
     part, a, b, counts, needs = part[order], a[order], b[order], counts[order], needs[order]
@@ -362,29 +459,17 @@ def pack_pairs(ids: np.ndarray, a: np.ndarray, b: np.ndarray, counts: np.ndarray
     blobs = []
     for lo, hi in zip(cuts[:-1], cuts[1:]):
         own, number = np.unique(np.concatenate([a[lo:hi], b[lo:hi]]), return_inverse=True)
-        head = np.array([len(own), hi - lo], np.uint32).tobytes()
-        blobs.append(head + ids[own].astype("<u8").tobytes() + planes(number, 4) + planes(counts[lo:hi], 3) + planes(needs[lo:hi], 3))
+        blobs.append(pack((ids[own], 8), (number, 4), (counts[lo:hi], 3), (needs[lo:hi], 3)))
     return pa.table({"part": pa.array(part[cuts[:-1]] if len(part) else [], pa.int32()), "pairs": pa.array(blobs, pa.binary())})
 
 
-def unpack_pairs(blob: bytes) -> tuple[np.ndarray, ...]:
-    n_ids, n = (int(x) for x in np.frombuffer(blob, np.uint32, 2))
-    ids = np.frombuffer(blob, "<u8", n_ids, 8)
-    at = 8 + 8 * n_ids
-
-    def take(count: int, width: int) -> np.ndarray:
-        nonlocal at
-        raw = np.frombuffer(blob, np.uint8, count * width, at).reshape(width, count)
-        at += count * width
-        return from_bytes(np.ascontiguousarray(raw.T).ravel(), width).astype(np.int64)
-
-    number, counts, needs = take(2 * n, 4), take(n, 3), take(n, 3)
-    return ids[number[:n]], ids[number[n:]], counts, needs
-
-
-def settle(table: pa.Table) -> pa.Table:
+def _settle(table: pa.Table) -> pa.Table:
     """Pairs that share as many tokens as they must, over all ranges."""
-    got = [unpack_pairs(x.as_buffer().to_pybytes()) for x in table.column("pairs")]
+    got = []
+    for blob in _blobs(table, "pairs"):
+        ids, number, counts, needs = unpack(blob, 8, 4, 3, 3)
+        number = number.astype(np.int64)
+        got.append((ids[number[: len(counts)]], ids[number[len(counts) :]], counts.astype(np.int64), needs.astype(np.int64)))
     a, b, counts, needs = (np.concatenate(x) for x in zip(*got))
     order = np.lexsort((b, a))
     a, b, counts, needs = a[order], b[order], counts[order], needs[order]
@@ -393,33 +478,22 @@ def settle(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(a[cuts][good].view(np.int64)), "b": pa.array(b[cuts][good].view(np.int64))})
 
 
-def _candidates(texts: DataFrame, n: int, t: float, frequent: tuple[np.ndarray, np.ndarray], ranges: int) -> DataFrame:
-    known: list[Known] = []
-
-    def pack(batches):
-        if not known:
-            known.append(Known(*frequent))
-        kinds = (Blobs(ranges, pack=pack_postings), Blobs(ranges, pack=pack_postings))
-        for tokens, bounds in _token_sets(batches, n):
-            for kind, found in enumerate(postings(tokens, bounds, known[0], t)):
-                if found:
-                    for b in kinds[kind].add(*found):
-                        yield _kinded(b, kind)
-        for kind, blobs in enumerate(kinds):
-            for b in blobs.flush():
-                yield _kinded(b, kind)
+def candidates(texts: DataFrame, n: int, t: float) -> tuple[DataFrame, int]:
+    """(a, b): pairs of ids of sets that may be similar; and the number of ranges, which grows with the texts."""
+    rows, chars = texts.agg(F.count("*"), F.sum(F.length("text"))).first()
+    ranges = max(1, -(-(chars or 0) // (6 * RANGE_TOKENS)))
+    total, frequent, together, block, at_once = rows, FREQUENT, HOT, LONG, CHUNK_TOKENS
+    asked = texts.mapInArrow(lambda batches: _ask(batches, n, ranges, at_once), "part int, chunk long, kind int, blob binary")
+    answered = asked.groupBy("part").applyInArrow(lambda x: _answer(x, frequent), "chunk long, kind int, blob binary, heat binary")
+    indexed = answered.groupBy("chunk").applyInArrow(lambda x: _index(x, t, total, ranges, together), "kind int, part int, blob binary")
+    met = cut_lineage(indexed.groupBy("kind", "part").applyInArrow(lambda x: _meet(x, t, ranges, block), "kind int, part int, blob binary, other binary"))
+    width = shuffle_width(texts.sparkSession)
+    long = met.where("kind = 1").select("blob", "other").repartition(4 * width).mapInArrow(lambda batches: _meet_blocks(batches, t, ranges), "part int, pairs binary")
+    pairs = met.where("kind = 0").select("part", F.col("blob").alias("pairs")).union(long)
+    return cut_lineage(pairs.groupBy("part").applyInArrow(_settle, "a long, b long")), ranges
 
-    def meet(table: pa.Table) -> pa.Table:
-        kind = table.column("kind")[0].as_py()
-        width = (RARE, COMBO)[kind]
-        return candidates_of(np.concatenate([unpack_postings(x.as_buffer(), width) for x in table.column("blob")]), width, t, ranges)
 
-    met = texts.mapInArrow(pack, "kind int, part int, blob binary").groupBy("kind", "part").applyInArrow(meet, "part int, pairs binary")
-    return met.groupBy("part").applyInArrow(settle, "a long, b long")
-
-
-def _kinded(b: pa.RecordBatch, kind: int) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, kind, np.int32)), *b.columns], names=["kind", "part", "blob"])
+# --- verification -------------------------------------------------------------------------------------------------------------------
 
 
 def verify(a: np.ndarray, b: np.ndarray) -> float:
@@ -427,15 +501,12 @@ def verify(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def set_pairs(texts: DataFrame, n: int = N, t: float = THRESHOLD) -> DataFrame:
-    """(a, b, jaccard): ids of distinct sets with a similarity of t or more, over a DataFrame with one column of texts."""
+def _verified(texts: DataFrame, n: int, t: float, compare, out: str, weights: DataFrame | None = None) -> DataFrame:
+    """``compare(a, b, sets, weights)`` of the candidates of each cell, with their sets: a connected part of the candidates meets in one cell; a
+    large part is dealt to groups, and a pair is compared in the cell of its two groups. ``weights``: (id, weight) of each set."""
     if not 0.5 < t <= 1:
-        raise ValueError("combinations of two neighbours are complete for thresholds above 0.5")
-    ranges = shuffle_width(texts.sparkSession)
-    frequent = frequent_tokens(texts, n, FREQUENT, ranges)
-    cands = cut_lineage(_candidates(texts, n, t, frequent, ranges))
-    # verification: a connected part of the candidates meets in one cell, with its sets; a large part is dealt to groups, and a
-    # pair is compared in the cell of its two groups
+        raise ValueError("combinations of neighbours are complete for thresholds above 0.5")
+    cands, ranges = candidates(texts, n, t)
     roots = components(cands)
     parts = cands.join(roots.select("root", F.col("node").alias("a")), "a", "left").withColumn("root", F.coalesce("root", "a"))
     parts = cut_lineage(parts)
@@ -443,31 +514,84 @@ def set_pairs(texts: DataFrame, n: int = N, t: float = THRESHOLD) -> DataFrame:
     big = nodes.groupBy("root").agg(F.ceil(F.count("*") / LARGE_PART).cast("int").alias("groups")).where("groups > 1")
     parts = parts.join(big, "root", "left").withColumn("groups", F.coalesce("groups", F.lit(1)))
     group = lambda c: F.pmod(F.xxhash64(c), F.col("groups"))
-    cell = F.pmod(F.xxhash64("root", F.least(group("a"), group("b")), F.greatest(group("a"), group("b"))), F.lit(4 * ranges)).cast("int")
+    cells = max(4 * ranges, shuffle_width(texts.sparkSession))
+    cell = F.pmod(F.xxhash64("root", F.least(group("a"), group("b")), F.greatest(group("a"), group("b"))), F.lit(cells)).cast("int")
     pairs = cut_lineage(parts.select("a", "b", cell.alias("cell")))
     ends = pairs.select(F.col("a").alias("id"), "cell").union(pairs.select(F.col("b").alias("id"), "cell")).distinct()
     wanted = _filter_of(ends.select("id"))
 
     def sets(batches):
+        seen: set[int] = set()
         for tokens, bounds in _token_sets(batches, n):
             ids = set_ids(tokens, bounds)
             low = (ids & U(8 * len(wanted) - 1)).astype(np.int64)
             some = np.flatnonzero((wanted[low >> 3] >> (7 - (low & 7)) & 1).astype(bool) & (np.diff(bounds) > 0))
-            _, one = np.unique(ids[some], return_index=True)
-            some = some[one]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[some].view(np.int64)), pa.array([pack_sorted(np.sort(tokens[bounds[d] : bounds[d + 1]] & _48), 6) for d in some], pa.binary())], names=["id", "blob"])
+            some = [d for d in some.tolist() if (i := int(ids[d])) not in seen and not seen.add(i)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[some].view(np.int64)), pa.array([pack((steps(np.sort(tokens[bounds[d] : bounds[d + 1]] & _48)), 6)) for d in some], pa.binary())], names=["id", "blob"])
 
     blobs = texts.mapInArrow(sets, "id long, blob binary").groupBy("id").agg(F.first("blob").alias("blob"))
-    dealt = blobs.join(ends, "id").select(F.col("cell").alias("in_cell"), "id", "blob")
+    blobs = blobs.withColumn("weight", F.lit(1).cast("long")) if weights is None else blobs.join(weights, "id")
+    dealt = blobs.join(ends, "id").select(F.col("cell").alias("in_cell"), "id", "blob", "weight")
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids = right.column("id").to_pylist()
+        have = {i: np.cumsum(unpack(x, 6)[0], dtype=np.uint64) for i, x in zip(ids, _blobs(right))}
+        return compare(left.column("a").to_numpy(), left.column("b").to_numpy(), have, dict(zip(ids, right.column("weight").to_pylist())))
+
+    return pairs.groupBy("cell").cogroup(dealt.groupBy("in_cell")).applyInArrow(run, out)
+
 
-    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
-        have = {i: unpack_sorted(x.as_buffer(), 6) for i, x in zip(right.column("id").to_pylist(), right.column("blob"))}
-        a, b = left.column("a").to_pylist(), left.column("b").to_pylist()
-        sims = np.fromiter((_similar(have[x], have[y], t) for x, y in zip(a, b)), float, len(a))
-        good = pa.array(sims >= t - 1e-12)
-        return pa.table({"a": left.column("a").filter(good), "b": left.column("b").filter(good), "jaccard": pa.array(sims).filter(good)})
+def set_pairs(texts: DataFrame, n: int = N, t: float = THRESHOLD) -> DataFrame:
+    """(a, b, jaccard): ids of distinct sets with a similarity of t or more, over a DataFrame with one column ``text``."""
+
+    def compare(a, b, have, _):
+        sims = np.fromiter((_similar(have[x], have[y], t) for x, y in zip(a.tolist(), b.tolist())), float, len(a))
+        good = sims >= t - 1e-12
+        return pa.table({"a": pa.array(a[good]), "b": pa.array(b[good]), "jaccard": pa.array(sims[good])})
+
+    return _verified(texts, n, t, compare, "a long, b long, jaccard double")
+
+
+def set_links(texts: DataFrame, weights: DataFrame, n: int = N, t: float = THRESHOLD) -> DataFrame:
+    """(a, b, links) for similar sets: the weight of all sets similar to a, as seen in one cell (b = a), and edges that connect whatever is similar
+    (links = 0). Pairs are counted where they are found and go nowhere."""
+
+    def compare(a, b, have, weight):
+        good = np.fromiter((_similar(have[x], have[y], t) >= t - 1e-12 for x, y in zip(a.tolist(), b.tolist())), bool, len(a))
+        a, b = a[good], b[good]
+        node, number = np.unique(np.concatenate([a, b]), return_inverse=True)
+        w = np.fromiter((weight[i] for i in node.tolist()), np.int64, len(node))
+        i, j = number[: len(a)], number[len(a) :]
+        links = np.zeros(len(node), np.int64)
+        np.add.at(links, i, w[j])
+        np.add.at(links, j, w[i])
+        tree = _forest(np.stack([a, b]), ("a", "b"))
+        return pa.concat_tables([pa.table({"a": pa.array(node, pa.int64()), "b": pa.array(node, pa.int64()), "links": pa.array(links)}), tree.append_column("links", pa.array(np.zeros(len(tree), np.int64)))])
+
+    return _verified(texts, n, t, compare, "a long, b long, links long", weights)
 
-    return pairs.groupBy("cell").cogroup(dealt.groupBy("in_cell")).applyInArrow(compare, "a long, b long, jaccard double")
+
+def set_forest(texts: DataFrame, n: int = N, t: float = THRESHOLD) -> DataFrame:
+    """(a, b): edges that connect whatever sets are similar. Pairs that are connected already aren't compared."""
+
+    def compare(a, b, have, _):
+        parent = {i: i for i in have}
+
+        def top(i):
+            while parent[i] != i:
+                parent[i] = i = parent[parent[i]]
+            return i
+
+        edges = []
+        for x, y in zip(a.tolist(), b.tolist()):
+            p, q = top(x), top(y)
+            if p != q and _similar(have[x], have[y], t) >= t - 1e-12:
+                parent[max(p, q)] = min(p, q)
+                edges.append((x, y))
+        one, two = zip(*edges) if edges else ([], [])
+        return pa.table({"a": pa.array(one, pa.int64()), "b": pa.array(two, pa.int64())})
+
+    return _verified(texts, n, t, compare, "a long, b long")
 
 
 def _similar(a: np.ndarray, b: np.ndarray, t: float) -> float:
@@ -547,17 +671,15 @@ def components(pairs: DataFrame) -> DataFrame:
 
 
 def _members(docs: DataFrame, n: int) -> DataFrame:
-    """(k, t, id): key and text hash of every distinct document that has words, and its set."""
+    """(k, t, id): key and text hash of every document, and its set, null for one without words."""
 
     def run(batches):
         for b in batches:
             texts = b.column(2).to_pylist()
             for lo, hi in chunks(texts):
                 tokens, bounds = gram_sets(texts[lo:hi], n)
-                some = np.flatnonzero(np.diff(bounds) > 0)
-                ids = set_ids(tokens, bounds)[some]
-                part = b.slice(lo, hi - lo).take(pa.array(some))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(ids.view(np.int64))], names=["k", "t", "id"])
+                part = b.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(set_ids(tokens, bounds).view(np.int64), mask=np.diff(bounds) == 0)], names=["k", "t", "id"])
 
     return docs.select(id_key(docs).alias("k"), F.xxhash64(text_of(docs)).alias("t"), text_of(docs).alias("text")).mapInArrow(run, "k long, t long, id long")
 
@@ -570,48 +692,47 @@ def jaccard_join(docs: DataFrame, n: int = N, t: float = THRESHOLD) -> DataFrame
 
     doc_id < other_id in every row; pairs of rows with the same doc_id are left out, so repeated rows change nothing. Texts
     that are null, empty or without words have no set and no pair. Rows with a null doc_id are left out. Words are those of textvec;
-    a text of fewer than n words has one gram. Other columns are not read. Sets are told apart by 64 bits of hash."""
+    a text of fewer than n words has one gram. Other columns are not read. An empty table has no pairs."""
     ids = docs.where(docs["doc_id"].isNotNull())
-    members = cut_lineage(_members(ids, n).select("k", "id").distinct())
+    members = cut_lineage(_members(ids, n).select("k", "id").where("id is not null").distinct())
     first = members.groupBy("id").agg(F.min("k").alias("first"))
     same = members.join(first, "id").where("k > first").select(F.col("first").alias("doc_id"), F.col("k").alias("other_id"), F.lit(1.0).alias("jaccard"))
-    pairs = set_pairs(docs.select(text_of(docs).alias("text")), n, t)
+    pairs = set_pairs(ids.select(text_of(docs).alias("text")), n, t)
     named = pairs.join(first.select(F.col("id").alias("a"), F.col("first").alias("fa")), "a").join(first.select(F.col("id").alias("b"), F.col("first").alias("fb")), "b").where("fa <> fb")
     return same.union(named.select(F.least("fa", "fb"), F.greatest("fa", "fb"), "jaccard"))
 
 
-#: Documents of one set that are paired together; more are dealt to as many groups as it takes.
-GROUP = 256
-
+def jaccard_classes(docs: DataFrame, n: int = N, t: float = THRESHOLD) -> DataFrame:
+    """(doc_id, class_id, n_links) for each document: a class is connected by similarities of ``t`` or more between sets of word n-grams and
+    has the least doc_id of its documents; n_links counts the other documents that are similar to this one, those with the same set included.
 
-def jaccard_pairs(docs: DataFrame, n: int = N, t: float = THRESHOLD) -> DataFrame:
-    """(doc_id, other_id, jaccard): every pair of documents whose sets have similarity ``t`` or more, those of one set included;
-    of what counts as a document or a pair the same holds as for jaccard_join. A group of n copies gives n(n - 1)/2 rows, made in
-    many tasks: the documents of a set are dealt to groups, and two groups meet in a row of their own."""
+    Each distinct doc_id and set is a document, so repeated rows change nothing, and rows of one doc_id with different texts are documents
+    of their own (a doc_id then stands in several rows). Texts that are null, empty or without words are similar to nothing: a class of their own, no
+    links. Rows with a null doc_id are left out. Other columns are not read. An empty table gives an empty one. No pair of documents is made:
+    links are counted between sets, each with the number of its documents, where the sets are compared."""
     ids = docs.where(docs["doc_id"].isNotNull())
-    members = cut_lineage(_members(ids, n).select("k", "id").distinct())
-    counts = members.groupBy("id").agg(F.ceil(F.count("*") / GROUP).alias("groups"))
-    dealt = members.join(counts, "id").withColumn("g", F.pmod(F.xxhash64("k"), "groups"))
-    groups = cut_lineage(dealt.groupBy("id", "g").agg(F.collect_list("k").alias("ks")))
-    pairs = set_pairs(docs.select(text_of(docs).alias("text")), n, t)
-    left, right = (groups.select(F.col("id").alias(s), F.col("g").alias(f"g{s}"), F.col("ks").alias(f"k{s}")) for s in "ab")
-    # a pair of sets stands once; a set with itself takes each pair of its groups once, and of one group each pair of documents once
-    near = pairs.join(left, "a").join(right, "b").select("ka", "kb", "jaccard", F.lit(False).alias("one"))
-    equal = left.join(right, F.col("a") == F.col("b")).where("ga < gb or (ga = gb and size(ka) > 1)").select("ka", "kb", F.lit(1.0).alias("jaccard"), (F.col("ga") == F.col("gb")).alias("one"))
-    met = cut_lineage(near.union(equal)).repartition(4 * shuffle_width(docs.sparkSession))
-    flat = met.select(F.explode("ka").alias("x"), "kb", "jaccard", "one").select("x", F.explode("kb").alias("y"), "jaccard", "one")
-    return flat.where("x <> y and (not one or x < y)").select(F.least("x", "y").alias("doc_id"), F.greatest("x", "y").alias("other_id"), "jaccard")
+    every = cut_lineage(_members(ids, n).select("k", "id").distinct())
+    members = every.where("id is not null")
+    sizes = cut_lineage(members.groupBy("id").agg(F.count("*").alias("weight"), F.min("k").alias("least")))
+    found = cut_lineage(set_links(ids.select(text_of(docs).alias("text")), sizes.select("id", "weight"), n, t))
+    links = found.where("a = b").groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("links"))
+    roots = components(found.where("a <> b")).select("root", F.col("node").alias("id"))
+    known = cut_lineage(sizes.join(roots, "id", "left").join(links, "id", "left").withColumn("root", F.coalesce("root", "id")))
+    least = known.groupBy("root").agg(F.min("least").alias("class_id"))
+    of_set = known.join(least, "root").select("id", "class_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+    with_words = members.join(of_set, "id").select(F.col("k").alias("doc_id"), "class_id", "n_links")
+    return with_words.union(every.where("id is null").select("k", "k", F.lit(0).cast("long")))
 
 
 def keep_one(docs: DataFrame, n: int = N, t: float = THRESHOLD) -> DataFrame:
     """The rows of docs without near copies: of each group of documents connected by similarities of ``t`` or more, the one
     with the least doc_id stays (null comes first; of equal ids, that with the lesser text hash). Rows of equal doc_id and text
-    are one document and stay once. Texts without words are in no group and stay."""
+    are one document and stay once. Texts without words are in no group and stay. An empty table gives an empty one."""
     taken = set(docs.columns)
     k, th = fresh("_key", taken), fresh("_text_hash", taken)
-    pairs = cut_lineage(set_pairs(docs.select(text_of(docs).alias("text")), n, t))
+    pairs = cut_lineage(set_forest(docs.select(text_of(docs).alias("text")), n, t))
     roots = components(pairs).select("root", F.col("node").alias("id"))
-    members = _members(docs, n).join(roots, "id", "left").withColumn("group", F.coalesce("root", "id"))
+    members = _members(docs, n).where("id is not null").join(roots, "id", "left").withColumn("group", F.coalesce("root", "id"))
     members = cut_lineage(members.select("k", "t", "group"))
     keepers = members.groupBy("group").agg(F.min(F.struct("k", "t")).alias("first"))
     gone = members.join(keepers, "group").where(F.struct("k", "t") > F.col("first")).select(F.col("k").alias(k), F.col("t").alias(th))

@@ -43,12 +43,8 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.jaccard_join(_t(spark, sf_dir, "documents"))
-
-
-def op8_ngram_jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pairs, where op8_ngram_jaccard_join has those of first documents, and copies with the first."""
-    return jaccard.jaccard_pairs(_t(spark, sf_dir, "documents"))
+    """A row for every document: its class of near copies and how many documents it is similar to."""
+    return jaccard.jaccard_classes(_t(spark, sf_dir, "documents"))
 
 
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +63,7 @@ _WORDS = r"list_filter(string_split_regex(lower({}), '[^\p{{L}}\p{{N}}]+'), lamb
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1, "op3_license_scan": OP3, "op4_source_mixing": OP4, "op7_decontamination": OP7, "op8_ngram_jaccard_join": OP8, "op8_ngram_jaccard_pairs": OP8_PAIRS, "op10_embedding_dedup": OP10}
+    return {"op1_line_dedup": OP1, "op3_license_scan": OP3, "op4_source_mixing": OP4, "op7_decontamination": OP7, "op8_ngram_jaccard_join": OP8, "op10_embedding_dedup": OP10}
 
 
 OP1 = """
@@ -125,21 +121,18 @@ FROM h GROUP BY doc_id, item_id, i - j, run
 """
 
 OP8 = f"""
-WITH w AS (SELECT doc_id, {_WORDS.format("text")} AS ws FROM documents),
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format("text")} AS ws FROM documents),
 g AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(ws) = 1 THEN ws ELSE list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) END)) AS gs FROM w WHERE len(ws) > 0),
-f AS (SELECT gs, min(doc_id) AS doc_id, len(gs) AS n FROM g GROUP BY gs),
-t AS (SELECT doc_id, n, unnest(gs) AS t FROM f),
-o AS (SELECT a.doc_id, b.doc_id AS other_id, a.n AS n1, b.n AS n2, count(*) AS c FROM t a JOIN t b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY ALL)
-SELECT doc_id, other_id, c / (n1 + n2 - c)::DOUBLE AS jaccard FROM o WHERE c / (n1 + n2 - c)::DOUBLE >= {jaccard.THRESHOLD} - 1e-12
-UNION ALL SELECT f.doc_id, g.doc_id, 1.0 FROM g JOIN f ON g.gs = f.gs WHERE g.doc_id > f.doc_id
-"""
-
-OP8_PAIRS = f"""
-WITH w AS (SELECT doc_id, {_WORDS.format("text")} AS ws FROM documents),
-g AS (SELECT DISTINCT doc_id, list_sort(list_distinct(CASE WHEN len(ws) = 1 THEN ws ELSE list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) END)) AS gs FROM w WHERE len(ws) > 0),
-t AS (SELECT doc_id, len(gs) AS n, unnest(gs) AS t FROM g),
-o AS (SELECT a.doc_id, b.doc_id AS other_id, a.n AS n1, b.n AS n2, count(*) AS c FROM t a JOIN t b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY ALL)
-SELECT doc_id, other_id, c / (n1 + n2 - c)::DOUBLE AS jaccard FROM o WHERE c / (n1 + n2 - c)::DOUBLE >= {jaccard.THRESHOLD} - 1e-12
+f AS (SELECT gs, min(doc_id) AS s, len(gs) AS n, count(*) AS m FROM g GROUP BY gs),
+t AS (SELECT s, n, unnest(gs) AS t FROM f),
+o AS (SELECT a.s AS x, b.s AS y, a.n AS n1, b.n AS n2, count(*) AS c FROM t a JOIN t b ON a.t = b.t AND a.s < b.s GROUP BY ALL),
+h AS (SELECT x, y FROM o WHERE c / (n1 + n2 - c)::DOUBLE >= {jaccard.THRESHOLD} - 1e-12),
+p AS (SELECT x, y FROM h UNION ALL SELECT y, x FROM h),
+r(v, u) AS (SELECT s, s FROM f UNION SELECT r.v, p.y FROM r JOIN p ON r.u = p.x),
+k AS (SELECT v AS s, min(u) AS class_id FROM r GROUP BY v),
+l AS (SELECT p.x AS s, sum(f.m) AS links FROM p JOIN f ON p.y = f.s GROUP BY p.x)
+SELECT g.doc_id, k.class_id, CAST(coalesce(l.links, 0) + f.m - 1 AS BIGINT) AS n_links FROM g JOIN f ON g.gs = f.gs JOIN k ON f.s = k.s LEFT JOIN l ON f.s = l.s
+UNION ALL SELECT DISTINCT doc_id, doc_id, CAST(0 AS BIGINT) FROM w WHERE len(ws) = 0
 """
 
 OP10 = f"""

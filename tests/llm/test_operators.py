@@ -270,18 +270,40 @@ def gram_set(t, n):
     return frozenset(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) or (frozenset([tuple(w)]) if w else frozenset())
 
 
-@pytest.mark.parametrize("t,frequent", [(0.6, 4), (0.6, 1000), (0.8, 2), (0.55, 3)])
-def test_jaccard_join(spark, monkeypatch, t, frequent):
-    monkeypatch.setattr(jaccard, "FREQUENT", frequent)
-    rng = random.Random(5)
+def brute_classes(ids, sets, t):
+    """Links of every document with each other, and the least id of what is connected."""
+    similar = [(i, j) for i, j in itertools.combinations(range(len(ids)), 2) if sets[i] and sets[j] and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= t - 1e-12]
+    links, root = [0] * len(ids), list(ids)
+    for i, j in similar:
+        links[i] += 1
+        links[j] += 1
+        low, high = sorted((root[i], root[j]))
+        root = [low if r == high else r for r in root]
+    return sorted(zip(ids, root, links))
+
+
+def near_texts(rng, bases, sizes, vocabulary=WORDS, numbers=True):
     texts = []
-    for _ in range(40):
-        base = prose(rng, rng.choice([2, 3, 5, 9, 60, 200])).split()
+    for _ in range(bases):
+        n = rng.choice(sizes)
+        base = prose(rng, n).split() if numbers else [rng.choice(vocabulary) for _ in range(n)]
         for _ in range(rng.choice([1, 2, 5])):
             w = list(base)
             for _ in range(rng.randrange(1 + len(w) // 10)):
-                w[rng.randrange(len(w))] = rng.choice(WORDS)
+                w[rng.randrange(len(w))] = rng.choice(vocabulary)
             texts.append(" ".join(w))
+    return texts
+
+
+@pytest.mark.parametrize("t,frequent,together,small", [(0.6, 4, 32, False), (0.6, 1000, 32, False), (0.8, 2, 0.01, True), (0.55, 3, 1, True), (0.6, 2, 1e-9, True), (0.6, 2, 1e9, True), (0.6, 2, 0.5, True)])
+def test_jaccard_join(spark, monkeypatch, t, frequent, together, small):
+    monkeypatch.setattr(jaccard, "FREQUENT", frequent)
+    monkeypatch.setattr(jaccard, "HOT", together)
+    if small:
+        for name, value in [("LONG", 3), ("CHUNK_TOKENS", 300), ("RANGE_TOKENS", 100), ("LARGE_PART", 4), ("ONE_TASK", 5)]:
+            monkeypatch.setattr(jaccard, name, value)
+    rng = random.Random(5)
+    texts = near_texts(rng, 40, [2, 3, 5, 9, 15, 30, 60, 200])
     texts += ["a b", "a b c", "b c d", "a b c", "", "solo", "solo", None]
     sets = [gram_set(x, jaccard.N) for x in texts]
     first = {}
@@ -296,28 +318,63 @@ def test_jaccard_join(spark, monkeypatch, t, frequent):
     docs = table(spark, texts)
     got = {(r.doc_id, r.other_id): r.jaccard for r in jaccard.jaccard_join(docs, t=t).collect()}
     assert got.keys() == want.keys() and all(math.isclose(got[k], want[k]) for k in got)
-    parent = list(range(len(texts)))
-    for i, j in sorted(want):
-        a, b = parent[i], parent[j]
-        parent = [min(a, b) if p in (a, b) else p for p in parent]
+    classes = brute_classes(list(range(len(texts))), sets, t)
+    assert sorted(map(tuple, jaccard.jaccard_classes(docs.union(docs), t=t).collect())) == classes
     kept = {r.doc_id for r in jaccard.keep_one(docs, t=t).collect()}
-    assert kept == {i for i, p in enumerate(parent) if i == p}
-
-
-def test_jaccard_pairs(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "GROUP", 4)
-    rng = random.Random(9)
-    base = prose(rng, 60).split()
-    texts = [" ".join(base)] * 11 + [" ".join([*base[:9], "changed", *base[10:]])] * 7 + [prose(rng, 50) for _ in range(5)] + ["solo", "solo", "", None]
-    rng.shuffle(texts)
+    assert kept == {i for i, root, _ in classes if i == root}
+
+
+def near_sets(rng, vocabulary, size, t):
+    """A set and one that is just similar to it."""
+    a = set(rng.sample(vocabulary, size))
+    b = set(a)
+    while True:
+        c = set(b)
+        for _ in range(rng.randrange(1, 3)):
+            if rng.random() < 0.5 and len(c) > 1:
+                c.remove(rng.choice(sorted(c)))
+            else:
+                c.add(rng.choice(vocabulary))
+        if len(a & c) / len(a | c) < t:
+            return a, b
+        b = c
+
+
+@pytest.mark.parametrize("t,together", [(0.6, 1e-9), (0.6, 1), (0.6, 1e9), (0.55, 0.3), (0.75, 0.3)])
+def test_index_loses_no_pair(t, together):
+    """Two sets at the threshold, whatever is frequent and hot, share enough of what is indexed."""
+    rng = np.random.default_rng(11)
+    r = random.Random(11)
+    vocabulary = [int(x) for x in rng.integers(0, 1 << 48, 400)]
+    heat_of = {x: r.choice([0, 24, 40, 60]) if k % 3 else r.choice([24, 60]) for k, x in enumerate(vocabulary)}
+    for k in range(3000):
+        some = [x for x in vocabulary if heat_of[x] > 0] if k % 2 else vocabulary
+        a, b = near_sets(r, some, r.choice([1, 2, 3, 5, 8, 12, 18, 21, 25, 34, 60, 120]), t)
+        if a == b:
+            continue
+        tokens = np.array(sorted(a) + sorted(b), np.uint64)
+        owner = np.array([0] * len(a) + [1] * len(b))
+        heat = np.array([heat_of[int(x)] for x in tokens], np.uint64)
+        sizes = np.array([len(a), len(b)])
+        (tok, own, _), (sig, whose, before), indexed = jaccard.postings(tokens, owner, heat, sizes, t, 1000, together)
+        shared = len(set(tok[own == 0].tolist()) & set(tok[own == 1].tolist()))
+        need = max(1, math.ceil(t / (1 + t) * (len(a) + len(b)) - 1e-9) - max(len(a) - indexed[0], len(b) - indexed[1]))
+        left = {s: x for s, x in zip(sig[whose == 0].tolist(), before[whose == 0].tolist())}
+        right = {s: x for s, x in zip(sig[whose == 1].tolist(), before[whose == 1].tolist())}
+        met = [s for s in left.keys() & right.keys() if left[s] != right[s] or left[s] == 0]
+        assert shared >= need or met, (len(a), len(b))
+
+
+def test_hot_lists(spark, monkeypatch):
+    """Few different words, so that every gram is frequent, and one passage that many documents share."""
+    for name, value in [("FREQUENT", 2), ("HOT", 1), ("LONG", 16), ("CHUNK_TOKENS", 5000), ("RANGE_TOKENS", 3000)]:
+        monkeypatch.setattr(jaccard, name, value)
+    rng = random.Random(12)
+    shared = prose(rng, 40).split()
+    texts = near_texts(rng, 60, [30, 60, 90], WORDS[:9], numbers=False) + [" ".join(shared + prose(rng, rng.choice([10, 60])).split()) for _ in range(80)]
     sets = [gram_set(x, jaccard.N) for x in texts]
-    want = {(i, j): len(a & b) / len(a | b) for (i, a), (j, b) in itertools.combinations(enumerate(sets), 2) if a and b and len(a & b) / len(a | b) >= jaccard.THRESHOLD}
-    docs = table(spark, texts)
-    rows = jaccard.jaccard_pairs(docs.union(docs)).collect()
-    got = {(r.doc_id, r.other_id): r.jaccard for r in rows}
-    assert len(want) == 18 * 17 // 2 + 1 and len(rows) == len(got) and got.keys() == want.keys() and all(math.isclose(got[k], want[k]) for k in got)
-    assert {(r.doc_id, r.other_id) for r in jaccard.jaccard_join(docs).collect()} < got.keys()
-    assert jaccard.jaccard_pairs(empty(spark)).count() == 0
+    got = sorted(map(tuple, jaccard.jaccard_classes(table(spark, texts)).collect()))
+    assert got == brute_classes(list(range(len(texts))), sets, jaccard.THRESHOLD) and max(x[2] for x in got) > 20
 
 
 def test_jaccard_awkward(spark):
@@ -325,6 +382,10 @@ def test_jaccard_awkward(spark):
     assert jaccard.keep_one(a).columns == a.columns
     assert jaccard.keep_one(a).count() == 8  # the repeated row stays once
     assert jaccard.jaccard_join(empty(spark)).count() == 0 and jaccard.keep_one(empty(spark)).count() == 0
+    assert jaccard.jaccard_classes(empty(spark)).count() == 0
+    # one doc_id with two texts is two documents; texts without words are alone; null doc_ids are left out
+    got = sorted(map(tuple, jaccard.jaccard_classes(a).collect()))
+    assert got == [(1, 1, 0), (2, 2, 0), (3, 3, 0), (3, 3, 0), (4, 4, 0), (5, 5, 0)]
 
 
 def test_large_parts_and_stars(spark, monkeypatch):
@@ -332,8 +393,8 @@ def test_large_parts_and_stars(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "ONE_TASK", 5)
     base = prose(random.Random(6), 100).split()
     texts = [" ".join([*base[:i], "changed", *base[i + 1 :]]) for i in range(0, 60, 3)]
-    got = jaccard.jaccard_join(table(spark, texts))
-    assert got.count() == 190 and jaccard.keep_one(table(spark, texts)).count() == 1
+    assert jaccard.jaccard_join(table(spark, texts)).count() == 190 and jaccard.keep_one(table(spark, texts)).count() == 1
+    assert {tuple(r) for r in jaccard.jaccard_classes(table(spark, texts)).collect()} == {(i, 0, 19) for i in range(20)}
 
 
 # --- chat formatting
