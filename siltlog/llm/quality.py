@@ -111,7 +111,8 @@ def fit(texts: list[str], classes: list[int]) -> Model:
             idx, w = bags[i]
             if not len(idx):
                 continue
-            h = w @ emb[idx]
+            e = emb.take(idx, axis=0)
+            h = w @ e
             z = out @ h + bias
             p = np.exp(z - z.max())
             p /= p.sum()
@@ -119,9 +120,11 @@ def fit(texts: list[str], classes: list[int]) -> Model:
             p = (p * weight[classes[i]]).astype(np.float32)
             back = p @ out
             norm = float(back @ back) / DIM
-            g_emb[idx] += w * w * norm
-            if norm > 1e-12:
-                emb[idx] -= (rate * w / np.sqrt(g_emb[idx]))[:, None] * back
+            if norm > 1e-12:  # a bucket stands once in a document
+                g = g_emb.take(idx) + w * w * np.float32(norm)
+                g_emb[idx] = g
+                e -= np.multiply.outer(np.float32(rate) * w / np.sqrt(g), back)
+                emb[idx] = e
             step = np.outer(p, h)
             g_out += step * step
             out -= rate * step / np.sqrt(g_out)
@@ -135,15 +138,17 @@ def fit(texts: list[str], classes: list[int]) -> Model:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, per_class: int = MAX_PER_CLASS) -> list[tuple[int, str, int]]:
-    """(doc_id, text, class) of at most ``per_class`` labelled documents of each class."""
+    """(doc_id, text, class) of at most ``per_class`` labelled documents of each class. A doc_id has the least quality and the greatest toxicity of its
+    rows in labels, and of its texts that of the least hash, so repeated rows change nothing and no more than that many texts are gathered."""
     lab = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels["quality"].cast("int").alias("q"), labels["toxic"].cast("int").alias("t")).dropna()
     lab = lab.groupBy("doc_id").agg(F.min("q").alias("q"), F.max("t").alias("t"))
     kind = F.when(F.col("t") > 0, 2).when(F.col("q") > 0, 0).otherwise(1)
     lab = lab.select("doc_id", kind.alias("c"))
     picked = [lab.where(F.col("c") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).collect() for c in range(len(CLASSES))]
     ids = docs.sparkSession.createDataFrame([tuple(r) for rows in picked for r in rows], "doc_id long, c int")
-    got = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text")).join(F.broadcast(ids), "doc_id").collect()
-    return sorted({(r.doc_id, r.text, r.c) for r in got})
+    got = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text")).join(F.broadcast(ids), "doc_id")
+    one = got.groupBy("doc_id", "c").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    return sorted((r.doc_id, r.text, r.c) for r in one.collect())
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = MAX_PER_CLASS) -> Model | None:
@@ -176,7 +181,8 @@ def classify(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, model: Model | None) -> DataFrame:
-    """The rows of docs, with all their columns, that ``classify`` keeps."""
+    """The rows of docs, with all their columns, that ``classify`` keeps: those with a null or empty text are, repeated rows are all or
+    none, and an empty table stays empty."""
     at = docs.columns.index("text")
 
     def run(batches):
