@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,15 +31,33 @@ def shared_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="siltlog-")
 
 
+_lock, _cutting = threading.Lock(), {}
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """An eager checkpoint in the shared folder."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
+    """An eager checkpoint in the shared folder. While one runs, shuffle files of the session's queries are deleted as each query ends; the setting is put back when the
+    last of them has run, so several threads may cut at once."""
     spark = df.sparkSession
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(shared_folder(spark))
+    key = id(spark._jsparkSession)
+    with _lock:
+        n, before = _cutting.get(key) or (0, spark.conf.get(CLEANUP, "false"))
+        _cutting[key] = n + 1, before
+        spark.conf.set(CLEANUP, "true")
     try:
         return df.select("*").checkpoint(eager=True)
     finally:
-        spark.conf.set(CLEANUP, before)
+        with _lock:
+            n, before = _cutting.pop(key)
+            if n > 1:
+                _cutting[key] = n - 1, before
+            else:
+                spark.conf.set(CLEANUP, before)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder and all in it, if it is there."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
