@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: With this set, Spark deletes a query's shuffle files when it has run. Once a result is checkpointed nobody needs them.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+from ..runtime import cut_lineage as cut_lineage
+
 #: Stands for a null doc_id in keys, so that joins need no null-safe equality.
 NULL_ID = -(2**63)
 
@@ -31,27 +29,5 @@ def text_of(df: DataFrame, column: str = "text") -> Column:
     return F.coalesce(df[column].cast("string"), F.lit(""))
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint to the shared folder named in spark.checkpoint.dir.
-
-    Where the setting is absent (tests on one machine), a temporary folder is used; on a cluster that is an error."""
-    spark: SparkSession = df.sparkSession
-    sc = spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        if not folder:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="siltlog-ckpt-")
-        sc.setCheckpointDir(folder)
-    spark = df.sparkSession
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
-        return df.select("*").checkpoint(eager=True)
-    finally:
-        spark.conf.set(CLEANUP, before)
-
-
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
