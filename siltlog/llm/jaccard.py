@@ -19,7 +19,9 @@ p = n - ceil(t n) + 1 be its prefix length at threshold t. Similar documents hav
   by frequency), and index all pairs of frequent ones among these.
 
 All parts are exact: no list is capped. Lists longer than LONG are cut to blocks, and pairs of blocks are dealt to tasks. Candidates are
-verified on whole sets. Tokens are compared by 48 bits of their hashes, sets are told apart by 64: two different tokens or sets
+tried on bitmaps first (of how many tokens fall on a bit, whether that is odd: two sets differ in as many tokens at least as their bitmaps
+differ in bits), and those that pass are verified on whole sets. Candidates are sought with 40 bits of the tokens' hashes, and
+two tokens that have these in common only add candidates. Sets are compared by 48 bits and told apart by 64: two different tokens or sets
 are taken for one with chances of 2^-48 and 2^-64."""
 
 from __future__ import annotations
@@ -50,7 +52,7 @@ LONG = 2048
 LARGE_PART = 5_000
 #: Bits of the filter that keeps documents with candidates; a fuller filter only passes more documents on.
 FILTER_BITS = 1 << 27
-_48 = U((1 << 48) - 1)
+_40, _48 = U((1 << 40) - 1), U((1 << 48) - 1)
 
 
 def gram_sets(texts: list, n: int = N) -> tuple[np.ndarray, np.ndarray]:
@@ -93,8 +95,9 @@ def set_ids(tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return ids
 
 
-def prefix_length(size: int, t: float) -> int:
-    return size - math.ceil(t * size - 1e-9) + 1
+def _prefix(sizes: np.ndarray, t: float) -> np.ndarray:
+    """Lengths of prefixes."""
+    return sizes - np.ceil(t * sizes - 1e-9).astype(np.int64) + 1
 
 
 # --- columns of numbers as compressed bytes ---------------------------------------------------------------------------------------
@@ -136,8 +139,8 @@ def _blobs(table: pa.Table, column: str = "blob") -> list[bytes]:
 
 
 def _slices(x: np.ndarray, ranges: int) -> np.ndarray:
-    """Where the ranges of sorted 48-bit numbers begin, and the end."""
-    edges = np.array([-(-(i << 48) // ranges) for i in range(1, ranges)], np.uint64)
+    """Where the ranges of sorted 40-bit numbers begin, and the end."""
+    edges = np.array([-(-(i << 40) // ranges) for i in range(1, ranges)], np.uint64)
     return np.concatenate([[0], np.searchsorted(x, edges), [len(x)]])
 
 
@@ -167,7 +170,7 @@ def _ask(batches, n: int, ranges: int, at_once: int):
         tokens, owner = tokens[order], owner[order]
         cuts = _slices(tokens, ranges)
         some = np.flatnonzero(cuts[1:] > cuts[:-1])
-        blobs = [pack((steps(tokens[a:b]), 6), (owner[a:b], 3)) for a, b in zip(cuts[some], cuts[some + 1])] + [pack((np.concatenate(ids), 8), (np.concatenate(sizes), 4))]
+        blobs = [pack((steps(tokens[a:b]), 5), (owner[a:b], 3)) for a, b in zip(cuts[some], cuts[some + 1])] + [pack((np.concatenate(ids), 8), (np.concatenate(sizes), 4))]
         parts = [*some.tolist(), number % ranges]
         return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array([base + number] * len(parts), pa.int64()), pa.array([0] * len(some) + [1], pa.int32()), pa.array(blobs, pa.binary())], names=["part", "chunk", "kind", "blob"])
 
@@ -178,7 +181,7 @@ def _ask(batches, n: int, ranges: int, at_once: int):
             continue
         keep = np.zeros(len(sid), bool)
         keep[new] = True
-        held.append((tokens[np.repeat(keep, lengths)] & _48, np.repeat(np.arange(count, count + len(new)), lengths[new])))
+        held.append((tokens[np.repeat(keep, lengths)] & _40, np.repeat(np.arange(count, count + len(new)), lengths[new])))
         ids.append(sid[new])
         sizes.append(lengths[new])
         count, size = count + len(new), size + len(held[-1][0])
@@ -195,7 +198,7 @@ def _answer(table: pa.Table, frequent: int) -> pa.Table:
     kinds = table.column("kind").to_numpy()
     rows = np.flatnonzero(kinds == 0)
     blobs = _blobs(table)
-    tokens = [np.cumsum(unpack(blobs[i], 6, 3)[0], dtype=np.uint64) for i in rows]
+    tokens = [np.cumsum(unpack(blobs[i], 5, 3)[0], dtype=np.uint64) for i in rows]
     heats: list = [None] * len(kinds)
     if len(rows):
         every = np.concatenate(tokens)
@@ -232,6 +235,32 @@ def left_out(size: np.ndarray, frequent: np.ndarray, t: float) -> np.ndarray:
     return np.maximum(0, np.ceil(((a - 1) * t * size + a * size - frequent - 3) / 3 - 1e-9) - 1).astype(np.int64)
 
 
+def bitmap_bytes(sizes):
+    """Bytes of a bitmap: a power of two, with 1.5 bits a token at least."""
+    return 1 << np.maximum(3, np.ceil(np.log2(np.maximum(sizes, 1) * 1.5)).astype(np.int64) - 3)
+
+
+def bitmaps(tokens: np.ndarray, owner: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    order = np.argsort(owner, kind="stable")
+    spots, ends = mix64(tokens[order] ^ U(0x5851F42D4C957F2D)), np.cumsum(sizes)
+    out = []
+    for lo, hi, n in zip((ends - sizes).tolist(), ends.tolist(), (8 * bitmap_bytes(sizes)).tolist()):
+        odd = np.bincount((spots[lo:hi] & U(n - 1)).astype(np.int64), minlength=n) & 1
+        out.append(np.packbits(odd.astype(bool), bitorder="little").tobytes())
+    return out
+
+
+def may_be_similar(a: bytes, b: bytes, n: int, m: int, t: float) -> bool:
+    """Whether sets of n and m tokens with these bitmaps can be."""
+    if len(a) < len(b):
+        a, b = b, a
+    x, bits = int.from_bytes(a, "little"), 8 * len(a)
+    while bits > 8 * len(b):
+        bits //= 2
+        x = (x >> bits) ^ (x & ((1 << bits) - 1))
+    return (x ^ int.from_bytes(b, "little")).bit_count() <= (n + m) * (1 - t) / (1 + t) + 1e-9
+
+
 def _within(owner: np.ndarray) -> np.ndarray:
     """Places within the runs of an owner."""
     if not len(owner):
@@ -241,17 +270,17 @@ def _within(owner: np.ndarray) -> np.ndarray:
 
 
 def _pair_of(x, y):
-    return mix64(x * U(0xD6E8FEB86659FD93) + mix64(y + U(1))) & _48
+    return mix64(x * U(0xD6E8FEB86659FD93) + mix64(y + U(1))) & _40
 
 
 def _triple_of(x, y, z):
-    return mix64(_pair_of(x, y) * U(0x9E3779B97F4A7C15) + mix64(z + U(2))) & _48
+    return mix64(_pair_of(x, y) * U(0x9E3779B97F4A7C15) + mix64(z + U(2))) & _40
 
 
 def postings(tokens: np.ndarray, owner: np.ndarray, heat: np.ndarray, sizes: np.ndarray, t: float, total: int, together: int):
     """For the single and the combined index: tokens or combinations, their owners, and what stands before (0 for nothing); and how
     many tokens each set has indexed singly. ``total``: how many sets there are, about; ``together``: see HOT."""
-    p = sizes - np.ceil(t * sizes - 1e-9).astype(np.int64) + 1
+    p = _prefix(sizes, t)
     order = np.lexsort((tokens, heat > 0, owner))
     tokens, owner, heat = tokens[order], owner[order], heat[order].astype(np.int64)
     often = heat > 0
@@ -315,19 +344,24 @@ def postings(tokens: np.ndarray, owner: np.ndarray, heat: np.ndarray, sizes: np.
 
 
 def _index(table: pa.Table, t: float, total: int, ranges: int, together: int) -> pa.Table:
-    """(kind, part, blob): postings of a chunk. Each blob names the sets that are in it."""
+    """(kind, part, blob): postings of a chunk (kinds 0 and 1), and bitmaps of its sets (kind 2). Each blob names the sets that are in it."""
     tokens, owner, heat = [], [], []
     for kind, blob, hot in zip(table.column("kind").to_pylist(), _blobs(table), table.column("heat").to_pylist()):
         if kind == 1:
             ids, sizes = unpack(blob, 8, 4)
         else:
-            a, b = unpack(blob, 6, 3)
+            a, b = unpack(blob, 5, 3)
             tokens.append(np.cumsum(a, dtype=np.uint64))
             owner.append(b.astype(np.int64))
             heat.append(unpack(hot, 1)[0])
     sizes = sizes.astype(np.int64)
-    *found, indexed = postings(np.concatenate(tokens), np.concatenate(owner), np.concatenate(heat), sizes, t, total, together)
-    rows = []
+    tokens, owner = np.concatenate(tokens), np.concatenate(owner)
+    *found, indexed = postings(tokens, owner, np.concatenate(heat), sizes, t, total, together)
+    lacks, by_id = _prefix(sizes, t) - indexed, np.argsort(ids)
+    rank = np.empty(len(ids), np.int64)
+    rank[by_id] = np.arange(len(ids))
+    bits = b"".join(bitmaps(tokens, owner, sizes))
+    rows = [(2, int(ids[0] % U(ranges)), pack((ids, 8), (sizes, 4), (np.frombuffer(bits, np.uint8), 1)))]
     for kind, (sig, own, before) in enumerate(found):
         order = np.lexsort((own, sig))
         sig, own = sig[order], own[order]
@@ -335,8 +369,10 @@ def _index(table: pa.Table, t: float, total: int, ranges: int, together: int) ->
         cuts = _slices(sig, ranges)
         for part in np.flatnonzero(cuts[1:] > cuts[:-1]):
             a, b = cuts[part], cuts[part + 1]
-            who, number = np.unique(own[a:b], return_inverse=True)
-            rows.append((kind, int(part), pack((steps(sig[a:b]), 6), (number, 3), (before[a:b], 4), (ids[who], 8), (np.minimum(sizes[who], LARGE), 3), (np.minimum(indexed[who], LARGE), 3))))
+            who, number = np.unique(rank[own[a:b]], return_inverse=True)
+            who = by_id[who]
+            # what is indexed is told by what it lacks of a prefix, mostly nothing
+            rows.append((kind, int(part), pack((steps(sig[a:b]), 5), (number, 3), (before[a:b], 4), (steps(ids[who]), 8), (np.minimum(sizes[who], LARGE), 3), (np.minimum(lacks[who], LARGE), 3))))
     kinds, parts, blobs = zip(*rows) if rows else ([], [], [])
     return pa.table({"kind": pa.array(kinds, pa.int32()), "part": pa.array(parts, pa.int32()), "blob": pa.array(blobs, pa.binary())})
 
@@ -396,10 +432,13 @@ def _meet(table: pa.Table, t: float, parts: int, block: int) -> pa.Table:
     """(kind, part, blob) of the posting lists of one range: distinct pairs of sets, with how many tokens of the range they share and how many they
     must share over all ranges (kind 0), and pairs of blocks of long lists (kind 1)."""
     kind = table.column("kind")[0].as_py()
+    if kind == 2:  # bitmaps pass through
+        return table.append_column("other", pa.nulls(len(table), pa.binary()))
     got, base = [], 0
     for blob in _blobs(table):
-        sig, own, before, ids, sizes, indexed = unpack(blob, 6, 3, 4, 8, 3, 3)
-        got.append((np.cumsum(sig, dtype=np.uint64), own.astype(np.int64) + base, before, ids, sizes.astype(np.int64), indexed.astype(np.int64)))
+        sig, own, before, ids, sizes, lacks = unpack(blob, 5, 3, 4, 8, 3, 3)
+        sizes = sizes.astype(np.int64)
+        got.append((np.cumsum(sig, dtype=np.uint64), own.astype(np.int64) + base, before, np.cumsum(ids, dtype=np.uint64), sizes, _prefix(sizes, t) - lacks.astype(np.int64)))
         base += len(ids)
     token, own, before, ids, sizes, indexed = (np.concatenate(x) for x in zip(*got))
     ids, at, same = np.unique(ids, return_index=True, return_inverse=True)  # tasks send copies of a set
@@ -482,15 +521,37 @@ def candidates(texts: DataFrame, n: int, t: float) -> tuple[DataFrame, int]:
     """(a, b): pairs of ids of sets that may be similar; and the number of ranges, which grows with the texts."""
     rows, chars = texts.agg(F.count("*"), F.sum(F.length("text"))).first()
     ranges = max(1, -(-(chars or 0) // (6 * RANGE_TOKENS)))
+    lists = -(-ranges // 3)  # a third of the tokens is indexed, about
     total, frequent, together, block, at_once = rows, FREQUENT, HOT, LONG, CHUNK_TOKENS
     asked = texts.mapInArrow(lambda batches: _ask(batches, n, ranges, at_once), "part int, chunk long, kind int, blob binary")
     answered = asked.groupBy("part").applyInArrow(lambda x: _answer(x, frequent), "chunk long, kind int, blob binary, heat binary")
-    indexed = answered.groupBy("chunk").applyInArrow(lambda x: _index(x, t, total, ranges, together), "kind int, part int, blob binary")
-    met = cut_lineage(indexed.groupBy("kind", "part").applyInArrow(lambda x: _meet(x, t, ranges, block), "kind int, part int, blob binary, other binary"))
+    indexed = answered.groupBy("chunk").applyInArrow(lambda x: _index(x, t, total, lists, together), "kind int, part int, blob binary")
+    met = cut_lineage(indexed.groupBy("kind", "part").applyInArrow(lambda x: _meet(x, t, lists, block), "kind int, part int, blob binary, other binary"))
     width = shuffle_width(texts.sparkSession)
-    long = met.where("kind = 1").select("blob", "other").repartition(4 * width).mapInArrow(lambda batches: _meet_blocks(batches, t, ranges), "part int, pairs binary")
+    long = met.where("kind = 1").select("blob", "other").repartition(4 * width).mapInArrow(lambda batches: _meet_blocks(batches, t, lists), "part int, pairs binary")
     pairs = met.where("kind = 0").select("part", F.col("blob").alias("pairs")).union(long)
-    return cut_lineage(pairs.groupBy("part").applyInArrow(_settle, "a long, b long")), ranges
+    settled = cut_lineage(pairs.groupBy("part").applyInArrow(_settle, "a long, b long"))
+    maps = met.where("kind = 2").select("blob").mapInArrow(_bitmap_rows, "id long, size int, bits binary").groupBy("id").agg(F.first("size").alias("size"), F.first("bits").alias("bits"))
+    for end in "ab":
+        settled = settled.join(maps.select(F.col("id").alias(end), F.col("size").alias(f"size_{end}"), F.col("bits").alias(f"bits_{end}")), end)
+
+    def sift(batches):
+        for x in batches:
+            c = {name: x.column(name) for name in x.schema.names}
+            good = pa.array([may_be_similar(*v, t) for v in zip(c["bits_a"].to_pylist(), c["bits_b"].to_pylist(), c["size_a"].to_pylist(), c["size_b"].to_pylist())], pa.bool_())
+            yield pa.RecordBatch.from_arrays([c["a"].filter(good), c["b"].filter(good)], names=["a", "b"])
+
+    return cut_lineage(settled.mapInArrow(sift, "a long, b long")), ranges
+
+
+def _bitmap_rows(batches):
+    for batch in batches:
+        for blob in batch.column(0).to_pylist():
+            ids, sizes, raw = unpack(blob, 8, 4, 1)
+            ends = np.cumsum(bitmap_bytes(sizes.astype(np.int64)))
+            raw = raw.astype(np.uint8).tobytes()
+            bits = [raw[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array(ids.view(np.int64)), pa.array(sizes.astype(np.int32)), pa.array(bits, pa.binary())], names=["id", "size", "bits"])
 
 
 # --- verification -------------------------------------------------------------------------------------------------------------------
