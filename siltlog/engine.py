@@ -43,8 +43,8 @@ class QueryResult:
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, catalog: Catalog, acl: ACL | None = None):
-        self.spark, self.catalog, self.acl, self.stats = spark, catalog, acl, Stats()
+    def __init__(self, spark: SparkSession, catalog: Catalog, acl: ACL | None = None, stats: Stats | None = None):
+        self.spark, self.catalog, self.acl, self.stats = spark, catalog, acl, stats or Stats()
 
     # --- who may see what
 
@@ -104,6 +104,10 @@ class Engine:
     ) -> QueryResult:
         """Events that match a query, by id. ``last``: only those beyond this id, which must lie in the query's period. ``fields``: names
         of fields to return; the default field always is. ``limit`` None returns all."""
+        with self.stats.tracked("rpc.iter"):
+            return self._iter(query, last, indices, limit, reverse, fields, compat, now)
+
+    def _iter(self, query, last, indices, limit, reverse, fields, compat, now) -> QueryResult:
         started = time.time()
         if limit is not None and limit < 1:
             raise BadRequest("limit must be 1 or more")
@@ -116,17 +120,19 @@ class Engine:
                 raise BadRequest(f"{after} is not in the period of the query")
         found = [(i, df) for i in indexes if (df := self._matches(node, i, period, after, reverse, compat)) is not None]
         data, seen = self._run(found, limit, reverse, fields)
-        self.stats.add("rpc.iter.calls")
         return QueryResult(data, seen, started)
 
     def tail_events(self, query: str, last=None, indices: list[str] | None = None, limit: int | None = DEFAULT_LIMIT, fields: list[str] | None = None, compat: bool = False) -> tuple[str, QueryResult | None]:
         """Events newer than ``last``, oldest first, and the id to go on from. Without ``last`` only that id: the greatest there is."""
+        with self.stats.tracked("rpc.tail"):
+            return self._tail(query, last, indices, limit, fields, compat)
+
+    def _tail(self, query, last, indices, limit, fields, compat) -> tuple[str, QueryResult | None]:
         started = time.time()
         if limit is not None and limit < 1:
             raise BadRequest("limit must be 1 or more")
         indexes = self._allowed("RPC::TAIL", self.catalog.select(indices))
         node = parse_tail(query)
-        self.stats.add("rpc.tail.calls")
         if last is None:
             newest = [r for i in indexes if (r := indexstats.last_event(i))]
             return str(max(newest, default=EVID_MIN)), None
@@ -150,8 +156,9 @@ class Engine:
     def show_stats(self, name: str, recursive: bool = False) -> list[tuple[str, int | float]]:
         return self.stats.show(name, recursive)
 
-    def flush_stats(self) -> None:
-        """Nothing is held back, so there is nothing to do."""
+    def flush_stats(self, every: bool = False) -> None:
+        """Counters go back to 0; those that last only with ``every``."""
+        self.stats.flush(every)
 
 
 def _evid(last) -> Evid:

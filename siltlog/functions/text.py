@@ -13,7 +13,7 @@ SEPARATORS = r"[^\p{L}\p{N}_]+"
 
 def tokens(c: Column) -> Column:
     """array<string>, in order, with repeats. Null for null."""
-    return F.filter(F.split(F.lower(c), SEPARATORS), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(c), SEPARATORS), "")
 
 
 def tokenize(value: str) -> list[str]:
@@ -27,16 +27,16 @@ def padded(toks: Column) -> Column:
 
 
 def has_term(c: Column, term: str, toks: Column | None = None) -> Column:
-    """Whether a token is ``term``. The substring test is cheap and spares most rows the split."""
-    found = F.array_contains(tokens(c) if toks is None else toks, term)
-    return found if toks is not None else F.lower(c).contains(term) & found
+    """Whether a token is ``term``."""
+    return has_phrase(c, [term]) if toks is None else F.array_contains(toks, term)
 
 
 def has_phrase(c: Column, terms: list[str], toks: Column | None = None) -> Column:
-    """Whether the terms stand at consecutive places."""
-    found = padded(tokens(c) if toks is None else toks).contains(f" {' '.join(terms)} ")
+    """Whether the terms stand at consecutive places. Without stored tokens the text is searched as it is, by one pattern: the terms with separators between them
+    and no letter, digit or underscore beside them. The substring test is cheap and spares most rows the pattern."""
     if toks is not None:
-        return found
-    cheap = F.lower(c).contains(max(terms, key=len))
-    return cheap & found
-
+        return padded(toks).contains(f" {' '.join(terms)} ")
+    inside = SEPARATORS.replace("[^", "[", 1).removesuffix("+")
+    pattern = f"(?<!{inside}){SEPARATORS.join(re.escape(t) for t in terms)}(?!{inside})"
+    low = F.lower(c)
+    return low.contains(max(terms, key=len)) & low.rlike(pattern)

@@ -53,6 +53,18 @@ def exact_size(node: Node, index: Index, compat: bool = False) -> int:
     return 0 if p is None else index.df.filter(p).count()
 
 
+def range_estimate(counts: DataFrame, field: str, kind: str, low=None, high=None, low_exclusive: bool = False, high_exclusive: bool = False) -> DataFrame:
+    """One row, ``size``: an upper bound of the events with a term of an interval, the sum of the terms' counts (see postings.term_counts). Exact for fields with
+    one term an event. Counts are read, postings are not."""
+    term = F.col("term").cast("bigint") if kind in ("int", "datetime") else F.col("term")
+    rows = counts.filter((F.col("field") == field) & (F.col("type") == kind))
+    if low is not None:
+        rows = rows.filter(term > low if low_exclusive else term >= low)
+    if high is not None:
+        rows = rows.filter(term < high if high_exclusive else term <= high)
+    return rows.agg(F.coalesce(F.sum("n_events"), F.lit(0)).cast("long").alias("size"))
+
+
 def estimate(node: Node, index: Index) -> int:
     """An upper bound from exact counts of the leaves, which are taken in one pass: the least for a conjunction, the sum for a disjunction,
     all for a negation, but no more than there are."""

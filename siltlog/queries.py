@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,10 @@ from .functions.evid import Evid, beyond, evid_string, from_string
 from .operators import filters, indexstats, paging, postfilter, postings, project, segments
 from .plans.ast import And, Or, Term
 from .plans.catalog import Catalog, Index
-from .sources.syslog import selected
+from .runtime import shared_folder
+from .sources.files import collect, load_csv, save_csv
+from .sources.store import Store, forward
+from .sources.syslog import facility_name, selected, severity_name
 from .streaming.contracts import Assertion, Contract
 from .streaming.routes import Route
 
@@ -238,7 +242,10 @@ def split_events(spark, d):
     return s.select("ts_sec", "evid_offset", "default_field", "default_value", F.col("fields")["hostname"].alias("hostname"), F.col("fields")["user_id"].alias("user_id"))
 
 
-@query("SELECT unnest(['hostname', 'input', 'lang', 'n_chars', 'quality']) AS field_name")
+_NAMED = "UNPIVOT (SELECT hostname, input, lang, message, CAST(n_chars AS VARCHAR) AS n_chars, CAST(quality AS VARCHAR) AS quality FROM d) ON COLUMNS(*) INTO NAME field_name VALUE v"
+
+
+@query(f"WITH {_D} SELECT DISTINCT field_name FROM ({_NAMED}) WHERE field_name <> 'message'")
 def result_field_names(spark, d):
     return project.field_names(engine(spark, d, documents).iter_events("ALL" + ALWAYS, limit=None).data)
 
@@ -302,12 +309,13 @@ def index_stats(spark, d):
 
 
 _DP = f"""{_D}, p AS (SELECT 'message' AS field, 'text' AS type, unnest(list_distinct(toks)) AS term, ts_sec, evid_offset FROM d
- UNION ALL SELECT 'lang', 'literal', lang, ts_sec, evid_offset FROM d UNION ALL SELECT 'quality', 'int', CAST(quality AS VARCHAR), ts_sec, evid_offset FROM d WHERE quality IS NOT NULL)"""
-_KEPT = [("message", "text"), ("lang", "literal"), ("quality", "int")]
+ UNION ALL SELECT 'lang', 'literal', lang, ts_sec, evid_offset FROM d UNION ALL SELECT 'quality', 'int', CAST(quality AS VARCHAR), ts_sec, evid_offset FROM d WHERE quality IS NOT NULL
+ UNION ALL SELECT 'hostname', 'literal', hostname, ts_sec, evid_offset FROM d UNION ALL SELECT 'input', 'literal', input, ts_sec, evid_offset FROM d
+ UNION ALL SELECT 'n_chars', 'int', CAST(n_chars AS VARCHAR), ts_sec, evid_offset FROM d)"""
 
 
 def _postings(spark, d, positions: bool = False) -> DataFrame:
-    return postings.build_postings(documents(spark, d), _KEPT, positions)
+    return postings.build_postings(documents(spark, d), None, positions)
 
 
 @query(f"WITH {_DP} SELECT field, type, count(*) AS n_postings FROM p GROUP BY ALL")
@@ -366,11 +374,21 @@ def estimates(spark, d):
     return spark.createDataFrame([(indexstats.exact_size(the, i), indexstats.estimate(And((the, en)), i), indexstats.exact_size(Or((the, en)), i))], "term_size long, and_bound long, or_size long")
 
 
-@query("SELECT unnest(['hostname', 'input', 'lang', 'message', 'n_chars', 'quality']) AS field_name, unnest(['literal', 'literal', 'literal', 'text', 'int', 'int']) AS field_type")
+@query(f"WITH {_D} SELECT DISTINCT field_name, CASE WHEN field_name = 'message' THEN 'text' WHEN bool_and(TRY_CAST(v AS BIGINT) IS NOT NULL) THEN 'int' ELSE 'literal' END AS field_type FROM ({_NAMED}) GROUP BY field_name")
 def field_list(spark, d):
     return indexstats.field_list(documents(spark, d))
 
 
+@query(f"WITH {_DP} SELECT count(*) AS size FROM p WHERE field = 'message' AND term > 'tha' AND term <= 'the'")
+def range_estimate(spark, d):
+    return indexstats.range_estimate(postings.term_counts(_postings(spark, d)), "message", "text", "tha", "the", low_exclusive=True)
+
+
+@query(f"WITH {_D} SELECT count(*) AS size FROM d WHERE n_chars >= 100 AND n_chars < 2000")
+def range_estimate_int(spark, d):
+    return indexstats.range_estimate(postings.term_counts(_postings(spark, d)), "n_chars", "int", 100, 2000, high_exclusive=True)
+
+
 @query(f"WITH {_D} SELECT unnest(['hostname', 'input', 'lang', 'message', 'n_chars', 'quality']) AS field_name, unnest(['literal', 'literal', 'literal', 'text', 'int', 'int']) AS field_type, unnest([count(hostname), count(input), count(lang), count(message), count(n_chars), count(quality)]) AS n_events FROM d")
 def field_presence(spark, d):
     return indexstats.field_presence(documents(spark, d))
@@ -462,9 +480,23 @@ def syslog_packets(spark, d):
     return r.select("event_id", times.seconds(F.col("ts"), "timestamp_ntz").alias("ts_sec"), "hostname", "syslog_tag", "syslog_pid", "message", "syslog_facility", "syslog_severity")
 
 
-@query("SELECT unnest([7, 35, 36, 37]) AS pri")
+_PRIS = "p AS (SELECT DISTINCT CAST(event_id % 192 AS INT) AS pri FROM events), q AS (SELECT pri, pri // 8 AS f, pri % 8 AS s FROM p)"
+
+
+@query(f"WITH {_PRIS} SELECT pri FROM q WHERE (f = 0 AND s = 7) OR (f IN (4, 13, 14) AND s <= 5 AND NOT s <= 2)")
 def syslog_selectors(spark, d):
-    return spark.createDataFrame([(p,) for p in sorted(selected("kern.=debug;auth.notice;auth.!crit") & set(range(64)))], "pri int")
+    """The priorities among those of the events that selectors choose."""
+    pri = _read(spark, d, "events").select((F.col("event_id") % 192).cast("int").alias("pri")).distinct()
+    return pri.filter(F.col("pri").isin(sorted(selected("kern.=debug;auth.notice;auth.!crit"))))
+
+
+_FACILITY = "['kern', 'user', 'mail', 'daemon', 'auth', 'syslog', 'lpr', 'news', 'uucp', 'cron', 'authpriv', 'ftp', 'ntp', 'auth', 'auth', 'cron']"
+
+
+@query(f"WITH {_PRIS} SELECT pri, CASE WHEN f >= 16 THEN 'local' || (f - 16) ELSE {_FACILITY}[f + 1] END AS facility, ['emerg', 'alert', 'crit', 'err', 'warning', 'notice', 'info', 'debug'][s + 1] AS severity FROM q")
+def priority_names(spark, d):
+    pri = _read(spark, d, "events").select((F.col("event_id") % 192).cast("int").alias("pri")).distinct()
+    return pri.select("pri", facility_name(F.col("pri")).alias("facility"), severity_name(F.col("pri")).alias("severity"))
 
 
 @query(f"SELECT event_id, {_TS} - 7200 AS ts_sec FROM events")
@@ -531,3 +563,48 @@ def display_times(spark, d):
 def ids_beyond(spark, d):
     i = events(spark, d)
     return i.df.select(i.ts_sec(), "evid_offset").filter(beyond(Evid(1705000000, 0))).select("evid_offset")
+
+
+# --- stores and files, written to the shared folder and read again ------------------------------------------------------------
+
+
+def _scratch(spark: SparkSession, what: str) -> str:
+    return f"{shared_folder(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
+def _log_events(spark, d) -> DataFrame:
+    i = events(spark, d)
+    return i.df.select("ts", "evid_offset", "input", "hostname", "message", "event_type", "user_id")
+
+
+@query(f"WITH {_E} SELECT {_ROW}, user_id FROM e WHERE event_type = 'error' AND ts >= '2024-01-05'")
+def store_round_trip(spark, d):
+    """Two batches of numbered events, the second of which brings some of the first again, and a search of the store."""
+    store = Store(spark, _scratch(spark, "store"), "log", rotation=4000)
+    e, types = _log_events(spark, d), {"event_type": "literal", "user_id": "int"}
+    store.append(e.filter("user_id < 100"), types, numbered=True)
+    store.append(e.filter("user_id >= 50"), types, numbered=True)
+    found = Engine(spark, Catalog(store.index())).iter_events("event_type=error WHERE DATE FROM 2024/1/5 TO 2100/1/1", limit=None)
+    return flat(found, "user_id").withColumn("user_id", F.col("user_id").cast("long"))
+
+
+@query("SELECT row_number() OVER (ORDER BY ts, event_id) AS evid_offset, event_type || ' ' || props AS message FROM events")
+def store_numbering(spark, d):
+    """Events without ids get them in the order of their times."""
+    store = Store(spark, _scratch(spark, "store"), "log")
+    store.append(_log_events(spark, d).drop("evid_offset").repartition(5))
+    return store.index().df.select("evid_offset", "message")
+
+
+@query(f"WITH {_E} SELECT {_ROW}, hostname, CAST(user_id AS VARCHAR) AS user_id FROM e WHERE event_type = 'view'")
+def csv_round_trip(spark, d):
+    found, path = engine(spark, d).iter_events("event_type=view" + ALWAYS, limit=None), _scratch(spark, "csv")
+    save_csv(found.data, path, found.field_names())
+    return flat(load_csv(spark, path), "hostname", "user_id")
+
+
+@query(f"WITH {_E} SELECT evid_offset, hostname, message FROM e")
+def forward_and_collect(spark, d):
+    e, path = _log_events(spark, d), _scratch(spark, "peer")
+    forward(e, path)
+    return collect(spark, path, ", ".join(f"{n} {t}" for n, t in e.dtypes), stream=False).select("evid_offset", "hostname", "message")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import threading
+import time
+from contextlib import contextmanager
 from pathlib import Path
 
 
@@ -28,6 +30,21 @@ class Stats:
         with self._lock:
             self.values[name] = self.values.get(name, 0) + by
 
+    @contextmanager
+    def tracked(self, name: str):
+        """Count a call under ``name.calls`` and its seconds under ``name.time``, also one that fails."""
+        began = time.time()
+        try:
+            yield
+        finally:
+            self.add(f"{name}.calls")
+            self.add(f"{name}.time", time.time() - began)
+
+    def flush(self, every: bool = False) -> None:
+        """Set counters back to 0; those that are kept in the file only with ``every``."""
+        with self._lock:
+            self.values = {k: 0 if every or k not in self.lasting else v for k, v in self.values.items()}
+
     def show(self, name: str, recursive: bool = False) -> list[tuple[str, int | float]]:
         """The counter of that name; recursively also those below it. An empty name with ``recursive`` shows all."""
         return sorted((k, v) for k, v in self.values.items() if k == name or recursive and (not name or k.startswith(name + ".")))
