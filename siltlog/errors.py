@@ -29,3 +29,7 @@ class QueryExecutionError(BadRequest):
 
 class ContractError(SearchError):
     """Filters that don't fit together, or an event that breaks a contract."""
+
+
+class ConfigurationError(SearchError):
+    """Settings that lack something or don't fit what they configure."""

@@ -21,10 +21,14 @@ def register(kind: str, name: str) -> Callable[[Callable], Callable]:
     return add
 
 
-def make(kind: str, name: str, **settings):
+def get(kind: str, name: str) -> Callable:
     if (kind, name) not in _REGISTRY:
         raise KeyError(f"no {kind} named {name!r}")
-    return _REGISTRY[kind, name](**settings)
+    return _REGISTRY[kind, name]
+
+
+def make(kind: str, name: str, **settings):
+    return get(kind, name)(**settings)
 
 
 def names(kind: str) -> list[str]:

@@ -246,3 +246,60 @@ def test_forward_tries_again(spark, index, tmp_path):
     assert stats.get("forward.forwardedevents") == 10
     back = collect(spark, out, COLUMNS, stream=False)
     assert back.count() == 10 and sorted(back.columns) == sorted(index.df.columns)
+
+
+def test_server(spark, tmp_path, capsys, caplog):
+    from siltlog.__main__ import main
+    from siltlog.errors import ConfigurationError
+    from siltlog.settings import Settings
+    from siltlog.streaming.server import Server
+
+    logs = tmp_path / "logs"
+    logs.mkdir()
+    (logs / "a.log").write_text(LINE + "\n\nnonsense\n" + LINE.replace("bob", "anna") + "\n")
+    config = tmp_path / "server.ini"
+    config.write_text(f"""
+[server]
+checkpoints = {tmp_path}/cp
+statistics = {tmp_path}/stats.json
+[input:weblogs]
+type = folder
+path = {logs}
+files per batch = 10
+[output:web]
+type = store
+path = {tmp_path}/web
+rotation = 1000
+[output:peer]
+type = forward
+path = {tmp_path}/peer
+[route:main]
+input = weblogs
+filter = apache_common
+output = web, peer
+[route:broken]
+input = nowhere
+filter = apache_common
+output = web
+""")
+    server = Server(spark, Settings.read(str(config)))
+    assert list(server.routes) == ["main"] and "broken" in caplog.text
+    for q in server.start(availableNow=True):
+        q.awaitTermination()
+    period = " WHERE DATE FROM 2000/10/10 TO 2000/10/11"
+    assert len(server.engine().iter_events("status=ge(200)" + period).data.collect()) == 2
+    assert server.stats.get("rpc.iter.calls") == 1 and server.stats.get("rpc.iter.time") > 0 and server.stats.get("output.peer.forwardedevents") == 2
+    server.stats.set("kept", 5, persistent=True)
+    server.stop()
+    main(["search", "remoteuser=anna" + period, "--config", str(config)])
+    main(["list-indices", "--store", f"web={tmp_path}/web"])
+    main(["show-index", "web", "--store", f"web={tmp_path}/web"])
+    main(["show-stats", "kept", "--config", str(config)])
+    main(["flush-stats", "--all", "--config", str(config)])
+    main(["show-stats", "--recursive", "--config", str(config)])
+    said = capsys.readouterr().out
+    assert "1 matches in" in said and "web\n" in said and "index_size: 2" in said and "kept: 5" in said and "kept: 0" in said
+    with pytest.raises(ConfigurationError):
+        Server(spark, Settings("[output:x]\ntype = nothing"))
+    with pytest.raises(ConfigurationError):
+        Server(spark, Settings("[output:x]\ntype = store\npath = /x\ncolour = red"))
