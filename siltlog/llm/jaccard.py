@@ -192,8 +192,8 @@ def _ask(batches, n: int, ranges: int, at_once: int):
         yield give()
 
 
-def _answer(table: pa.Table, frequent: int) -> pa.Table:
-    """What came, with the heat of each token: 8 times the logarithm of how many sets have it; 0 for rare ones. A set that several tasks
+def _answer(table: pa.Table, frequent: int, places: int) -> pa.Table:
+    """What came, with the place that each chunk goes to, and the heat of each token: 8 times the logarithm of how many sets have it; 0 for rare ones. A set that several tasks
     sent counts as often."""
     kinds = table.column("kind").to_numpy()
     rows = np.flatnonzero(kinds == 0)
@@ -213,7 +213,9 @@ def _answer(table: pa.Table, frequent: int) -> pa.Table:
         for i, t in zip(rows, tokens):
             heats[i] = pack((of[at : at + len(t)], 1))
             at += len(t)
-    return pa.table({"chunk": table.column("chunk"), "kind": table.column("kind"), "blob": pa.array(blobs, pa.binary()), "heat": pa.array(heats, pa.binary())})
+    chunk = table.column("chunk").to_numpy()
+    dest = ((chunk >> 24) * 8 + (chunk & 0xFFFFFF)) % places
+    return pa.table({"dest": pa.array(dest.astype(np.int32)), "chunk": table.column("chunk"), "kind": table.column("kind"), "blob": pa.array(blobs, pa.binary()), "heat": pa.array(heats, pa.binary())})
 
 
 # --- the index ----------------------------------------------------------------------------------------------------------------------
@@ -520,17 +522,19 @@ def _settle(table: pa.Table) -> pa.Table:
 def candidates(texts: DataFrame, n: int, t: float) -> tuple[DataFrame, int]:
     """(a, b): pairs of ids of sets that may be similar; and the number of ranges, which grows with the texts."""
     rows, chars = texts.agg(F.count("*"), F.sum(F.length("text"))).first()
-    ranges = max(1, -(-(chars or 0) // (6 * RANGE_TOKENS)))
-    lists = -(-ranges // 3)  # a third of the tokens is indexed, about
     total, frequent, together, block, at_once = rows, FREQUENT, HOT, LONG, CHUNK_TOKENS
+    ranges = max(1, -(-(chars or 0) // (6 * RANGE_TOKENS)))
+    lists = -(-ranges * 2 // 5)  # two fifths of the tokens are indexed, about
+    # each range and nearly each chunk gets a task of its own, so what a task reads is the same for any input
+    chunked = 2 * max(1, (chars or 0) // (6 * at_once))
     asked = texts.mapInArrow(lambda batches: _ask(batches, n, ranges, at_once), "part int, chunk long, kind int, blob binary")
-    answered = asked.groupBy("part").applyInArrow(lambda x: _answer(x, frequent), "chunk long, kind int, blob binary, heat binary")
-    indexed = answered.groupBy("chunk").applyInArrow(lambda x: _index(x, t, total, lists, together), "kind int, part int, blob binary")
-    met = cut_lineage(indexed.groupBy("kind", "part").applyInArrow(lambda x: _meet(x, t, lists, block), "kind int, part int, blob binary, other binary"))
+    answered = asked.repartitionById(ranges, F.col("part")).groupBy("part").applyInArrow(lambda x: _answer(x, frequent, chunked), "dest int, chunk long, kind int, blob binary, heat binary")
+    indexed = answered.repartitionById(chunked, F.col("dest")).groupBy("dest", "chunk").applyInArrow(lambda x: _index(x, t, total, lists, together), "kind int, part int, blob binary")
+    met = cut_lineage(indexed.repartitionById(lists, F.col("part")).groupBy("kind", "part").applyInArrow(lambda x: _meet(x, t, lists, block), "kind int, part int, blob binary, other binary"))
     width = shuffle_width(texts.sparkSession)
     long = met.where("kind = 1").select("blob", "other").repartition(4 * width).mapInArrow(lambda batches: _meet_blocks(batches, t, lists), "part int, pairs binary")
     pairs = met.where("kind = 0").select("part", F.col("blob").alias("pairs")).union(long)
-    settled = cut_lineage(pairs.groupBy("part").applyInArrow(_settle, "a long, b long"))
+    settled = cut_lineage(pairs.repartitionById(lists, F.col("part")).groupBy("part").applyInArrow(_settle, "a long, b long"))
     maps = met.where("kind = 2").select("blob").mapInArrow(_bitmap_rows, "id long, size int, bits binary").groupBy("id").agg(F.first("size").alias("size"), F.first("bits").alias("bits"))
     for end in "ab":
         settled = settled.join(maps.select(F.col("id").alias(end), F.col("size").alias(f"size_{end}"), F.col("bits").alias(f"bits_{end}")), end)
