@@ -34,8 +34,9 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With the vocabulary in the folder that the setting siltlog.tokenizers names."""
     docs = _t(spark, sf_dir, "documents")
-    return tokencount.edited_counts(docs, tokencount.house_edits(docs))
+    return tokencount.edited_counts(docs, tokencount.house_edits(docs), spark.conf.get("siltlog.tokenizers", tokencount.TOKENIZERS))
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -239,9 +239,11 @@ def apply_edits(trees: DataFrame, edits: str = "edits", folder: str = TOKENIZERS
 
 def edited_counts(docs: DataFrame, edits, folder: str = TOKENIZERS) -> DataFrame:
     """(doc_id, n_before, n_tokens, n_encoded) of every document before and after edits: ``edits`` is a column of docs' rows (EDITS), so that
-    documents are read once and nothing is shuffled.
+    documents are read once and nothing is shuffled. Texts are read whole.
 
-    Trees are made once and brought up to date by each edit; n_encoded of the edits' pre-tokens were encoded, all else kept."""
+    Null and empty texts have 0 tokens before. A null bound or text of an edit reads as 0 or empty, a null array or element as no edit; bounds beyond the text
+    are cut to it. Each row of docs is counted by itself: repeated rows repeat their counts, a null doc_id is carried along. Other columns are not
+    read; an empty table gives an empty one. ``folder`` holds the vocabulary. Trees are made once and brought up to date by each edit; n_encoded of the edits' pre-tokens were encoded, all else kept."""
 
     def run(batches):
         counter = Counter(folder)
