@@ -124,12 +124,16 @@ def _traits(token: str) -> list[str]:
     digits = sum(x.isdigit() for x in c)
     lengths = re.sub(r"\d+", lambda m: f"9{min(len(m.group()), 20)}", re.sub(r"[^\W\d_]+", "a", c))
     out = ["s:" + shape(c)[:24], "l:" + lengths[:32], f"n:{min(len(c), 48) // 4}", f"d:{min(digits, 24)}"]
+    if len(c) >= 8:  # how it begins, character by character
+        out.append("h:" + re.sub(r"\d", "9", re.sub(r"[^\W\d_]", lambda m: "A" if m.group().isupper() else "a", c[:4])))
     if re.fullmatch(r"[^\s@]+@[\w-]+(\.[\w-]+)+", c):
         out.append("mail")
     if ":" in c and c.count(":") >= 2 and re.fullmatch(r"[0-9a-fA-F:]+(?:%\w+)?", c):
         out.append("ip6" if "::" in c or c.count(":") == 7 else "mac" if c.count(":") == 5 else "ip6?")
     if re.fullmatch(r"[A-Z]{2}\d{2}(?:[A-Z0-9]{4}){2,7}[A-Z0-9]{0,3}", c):
         out.append("iban")
+    elif re.fullmatch(r"[A-Z0-9]{16,}", c) and not c.isdigit():
+        out.append("upper")
     elif re.fullmatch(r"[A-Z]{2}\d{2}", c):
         out.append("iban?")
     if re.fullmatch(r"\d{3}-\d{2}-\d{4}", c):
@@ -138,8 +142,6 @@ def _traits(token: str) -> list[str]:
         out.append("ip" if all(int(x) < 256 for x in c.split(".")) else "ip?")
     if re.fullmatch(r"[0-9a-fA-F]{16,}", c) and not c.isdigit():
         out.append("hex")
-    if re.fullmatch(r"[A-Z0-9]{16,}", c) and not c.isdigit():
-        out.append("upper")
     if re.fullmatch(r"[\w+/=-]{20,}", c) and digits and any(x.isalpha() for x in c):
         out.append("opaque")
     if c.isdigit() and 13 <= len(c) <= 19:
