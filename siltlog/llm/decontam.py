@@ -7,8 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textvec import Words, chunks
-from .util import fresh, id_key, text_of
+from .textvec import U, Words, chunks
+from .util import bitmap, cut_lineage, fresh, id_key, text_of
 
 #: Words in a fingerprinted gram, and grams in a winnowing window. A shared run of K + W - 1 words always shares a fingerprint.
 K, W = 6, 7
@@ -105,13 +105,19 @@ def _small(items: DataFrame) -> list[tuple[int, str]] | None:
     return [tuple(r) for r in items.collect()] if chars <= BROADCAST_CHARS else None
 
 
-def _prints(df: DataFrame, key: str) -> DataFrame:
+def _prints(df: DataFrame, key: str, wanted: np.ndarray | None = None) -> DataFrame:
+    """(key, place, print); with a bitmap, only prints that may be wanted."""
+
     def run(batches):
         for b in batches:
             texts, ids = b.column(1).to_pylist(), b.column(0).to_pylist()
             for lo, hi in chunks(texts):
                 words = Words(texts[lo:hi])
                 places, prints = winnow(words)
+                if wanted is not None:
+                    low = (prints & U(8 * len(wanted) - 1)).astype(np.int64)
+                    some = (wanted[low >> 3] >> (7 - (low & 7)) & 1).astype(bool)
+                    places, prints = places[some], prints[some]
                 d = np.searchsorted(words.first, places, side="right") - 1
                 yield pa.RecordBatch.from_arrays([pa.array([ids[lo + x] for x in d], pa.int64()), pa.array(places - words.first[d]), pa.array(prints.view(np.int64))], names=[key, f"{key}_at", "print"])
 
@@ -119,9 +125,12 @@ def _prints(df: DataFrame, key: str) -> DataFrame:
 
 
 def _spans_by_join(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(uid, spans) for a benchmark of any size: fingerprints meet by a shuffle, and both texts meet at their hits."""
+    """(uid, spans) for a benchmark of any size: fingerprints meet by a shuffle, and both texts meet at their hits. A bitmap of the benchmark's prints, of
+    bounded size, keeps most of the documents' prints out of the shuffle."""
     items = items.withColumn("ikey", F.xxhash64("item_id", "text"))
-    hits = _prints(docs, "uid").join(_prints(items, "ikey"), "print").groupBy("uid", "ikey").agg(F.collect_list(F.struct("uid_at", "ikey_at")).alias("hits"))
+    known = cut_lineage(_prints(items, "ikey"))
+    wanted = bitmap(known.select(F.col("print").alias("id")))
+    hits = _prints(docs, "uid", wanted).join(known, "print").groupBy("uid", "ikey").agg(F.collect_list(F.struct("uid_at", "ikey_at")).alias("hits"))
     both = hits.join(items.select("ikey", "item_id", F.col("text").alias("item_text")), "ikey").join(docs.select("uid", F.col("text").alias("doc_text")), "uid")
 
     def run(batches):

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .textvec import U, Words, chunks, mix64
-from .util import cut_lineage, fresh, id_key, shuffle_width, text_of
+from .util import bitmap, cut_lineage, fresh, id_key, shuffle_width, text_of
 
 #: Words in a gram; least similarity.
 N, THRESHOLD = 2, 0.6
@@ -50,8 +50,6 @@ CHUNK_TOKENS, RANGE_TOKENS = 1_000_000, 2_000_000
 LONG = 2048
 #: Sets in a connected part of the candidates up to which it is verified in one place.
 LARGE_PART = 5_000
-#: Bits of the filter that keeps documents with candidates; a fuller filter only passes more documents on.
-FILTER_BITS = 1 << 27
 _40, _48 = U((1 << 40) - 1), U((1 << 48) - 1)
 
 
@@ -583,7 +581,7 @@ def _verified(texts: DataFrame, n: int, t: float, compare, out: str, weights: Da
     cell = F.pmod(F.xxhash64("root", F.least(group("a"), group("b")), F.greatest(group("a"), group("b"))), F.lit(cells)).cast("int")
     pairs = cut_lineage(parts.select("a", "b", cell.alias("cell")))
     ends = pairs.select(F.col("a").alias("id"), "cell").union(pairs.select(F.col("b").alias("id"), "cell")).distinct()
-    wanted = _filter_of(ends.select("id"))
+    wanted = bitmap(ends.select("id"))
 
     def sets(batches):
         seen: set[int] = set()
@@ -665,23 +663,6 @@ def _similar(a: np.ndarray, b: np.ndarray, t: float) -> float:
     return verify(a, b)
 
 
-def _filter_of(ids: DataFrame) -> np.ndarray:
-    """A bitmap of the low bits of ids. It is put together in pieces on the executors and never exceeds FILTER_BITS bits."""
-    bits = min(FILTER_BITS, 1 << max(16, (ids.count() * 16).bit_length()))
-
-    def piece(table: pa.Table) -> pa.Table:
-        out = np.zeros(1 << 16, dtype=bool)
-        out[table.column("bit").to_numpy()] = True
-        return pa.table({"piece": table.column("piece").slice(0, 1), "bits": pa.array([np.packbits(out).tobytes()], pa.binary())})
-
-    low = F.col("id").bitwiseAND(F.lit(bits - 1))
-    pieces = ids.select(F.shiftright(low, 16).alias("piece"), low.bitwiseAND(F.lit(0xFFFF)).alias("bit")).groupBy("piece").applyInArrow(piece, "piece long, bits binary")
-    out = np.zeros((bits >> 16, 1 << 13), np.uint8)
-    for r in pieces.collect():
-        out[r.piece] = np.frombuffer(r.bits, np.uint8)
-    return out.ravel()
-
-
 def _forest(edges: np.ndarray, columns: tuple[str, str]) -> pa.Table:
     """Each node's least reachable node, as edges (root, node)."""
     nodes, flat = np.unique(edges, return_inverse=True)
