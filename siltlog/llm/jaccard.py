@@ -153,10 +153,12 @@ def _token_sets(batches, n):
 
 
 def _ask(batches, n: int, ranges: int, at_once: int):
-    """(part, chunk, kind, blob): ``at_once`` tokens by range (kind 0), each with its owner, and the sets' ids and sizes (kind 1).
+    """(part, chunk, kind, blob): the distinct tokens of ``at_once`` by range, with how many of the chunk's sets have each (kind 0), so a token that all
+    documents have is sent once for each chunk; and the sets' ids and sizes, and the tokens' owners in the order of the tokens (kind 1), which pass through.
     Of equal sets in a task one is sent."""
     seen: set[int] = set()
-    base, number = TaskContext.get().partitionId() << 24, 0
+    task = TaskContext.get().partitionId()
+    base, number = task << 24, 0
     held: list[tuple[np.ndarray, np.ndarray]] = []
     ids: list[np.ndarray] = []
     sizes: list[np.ndarray] = []
@@ -166,10 +168,13 @@ def _ask(batches, n: int, ranges: int, at_once: int):
         tokens, owner = (np.concatenate(x) for x in zip(*held))
         order = np.argsort(tokens)
         tokens, owner = tokens[order], owner[order]
+        begin = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+        more, tokens = np.diff(np.append(begin, len(tokens))) - 1, tokens[begin]
         cuts = _slices(tokens, ranges)
         some = np.flatnonzero(cuts[1:] > cuts[:-1])
-        blobs = [pack((steps(tokens[a:b]), 5), (owner[a:b], 3)) for a, b in zip(cuts[some], cuts[some + 1])] + [pack((np.concatenate(ids), 8), (np.concatenate(sizes), 4))]
-        parts = [*some.tolist(), number % ranges]
+        blobs = [pack((steps(tokens[a:b]), 5), (more[a:b], 3)) for a, b in zip(cuts[some], cuts[some + 1])]
+        blobs.append(pack((np.concatenate(ids), 8), (np.concatenate(sizes), 4), (owner, 3)))
+        parts = [*some.tolist(), (task * 31 + number) % ranges]
         return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array([base + number] * len(parts), pa.int64()), pa.array([0] * len(some) + [1], pa.int32()), pa.array(blobs, pa.binary())], names=["part", "chunk", "kind", "blob"])
 
     for tokens, bounds in _token_sets(batches, n):
@@ -196,24 +201,26 @@ def _answer(table: pa.Table, frequent: int, places: int) -> pa.Table:
     kinds = table.column("kind").to_numpy()
     rows = np.flatnonzero(kinds == 0)
     blobs = _blobs(table)
-    tokens = [np.cumsum(unpack(blobs[i], 5, 3)[0], dtype=np.uint64) for i in rows]
+    got = [unpack(blobs[i], 5, 3) for i in rows]
+    tokens = [np.cumsum(a, dtype=np.uint64) for a, _ in got]
     heats: list = [None] * len(kinds)
     if len(rows):
         every = np.concatenate(tokens)
         order = np.argsort(every)
         ranked = every[order]
         runs = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-        counts = np.diff(np.append(runs, len(ranked)))
+        times = np.diff(np.append(runs, len(ranked)))
+        counts = np.add.reduceat(np.concatenate([b for _, b in got]).astype(np.int64)[order] + 1, runs)
         heat = np.where(counts >= frequent, np.minimum(255, np.rint(8 * np.log2(counts))), 0).astype(np.uint64)
         of = np.empty(len(every), np.uint64)
-        of[order] = np.repeat(heat, counts)
+        of[order] = np.repeat(heat, times)
         at = 0
         for i, t in zip(rows, tokens):
             heats[i] = pack((of[at : at + len(t)], 1))
             at += len(t)
     chunk = table.column("chunk").to_numpy()
     dest = ((chunk >> 24) * 8 + (chunk & 0xFFFFFF)) % places
-    return pa.table({"dest": pa.array(dest.astype(np.int32)), "chunk": table.column("chunk"), "kind": table.column("kind"), "blob": pa.array(blobs, pa.binary()), "heat": pa.array(heats, pa.binary())})
+    return pa.table({"dest": pa.array(dest.astype(np.int32)), "chunk": table.column("chunk"), "part": table.column("part"), "kind": table.column("kind"), "blob": pa.array(blobs, pa.binary()), "heat": pa.array(heats, pa.binary())})
 
 
 # --- the index ----------------------------------------------------------------------------------------------------------------------
@@ -345,17 +352,18 @@ def postings(tokens: np.ndarray, owner: np.ndarray, heat: np.ndarray, sizes: np.
 
 def _index(table: pa.Table, t: float, total: int, ranges: int, together: int) -> pa.Table:
     """(kind, part, blob): postings of a chunk (kinds 0 and 1), and bitmaps of its sets (kind 2). Each blob names the sets that are in it."""
-    tokens, owner, heat = [], [], []
+    tokens, heat = [], []
+    table = table.sort_by([("kind", "ascending"), ("part", "ascending")])  # as the owners are
     for kind, blob, hot in zip(table.column("kind").to_pylist(), _blobs(table), table.column("heat").to_pylist()):
         if kind == 1:
-            ids, sizes = unpack(blob, 8, 4)
+            ids, sizes, owner = unpack(blob, 8, 4, 3)
         else:
-            a, b = unpack(blob, 5, 3)
-            tokens.append(np.cumsum(a, dtype=np.uint64))
-            owner.append(b.astype(np.int64))
-            heat.append(unpack(hot, 1)[0])
-    sizes = sizes.astype(np.int64)
-    tokens, owner = np.concatenate(tokens), np.concatenate(owner)
+            a, more = unpack(blob, 5, 3)
+            times = more.astype(np.int64) + 1
+            tokens.append(np.repeat(np.cumsum(a, dtype=np.uint64), times))
+            heat.append(np.repeat(unpack(hot, 1)[0], times))
+    sizes, owner = sizes.astype(np.int64), owner.astype(np.int64)
+    tokens = np.concatenate(tokens)
     *found, indexed = postings(tokens, owner, np.concatenate(heat), sizes, t, total, together)
     lacks, by_id = _prefix(sizes, t) - indexed, np.argsort(ids)
     rank = np.empty(len(ids), np.int64)
@@ -526,7 +534,7 @@ def candidates(texts: DataFrame, n: int, t: float) -> tuple[DataFrame, int]:
     # each range and nearly each chunk gets a task of its own, so what a task reads is the same for any input
     chunked = 2 * max(1, (chars or 0) // (6 * at_once))
     asked = texts.mapInArrow(lambda batches: _ask(batches, n, ranges, at_once), "part int, chunk long, kind int, blob binary")
-    answered = asked.repartitionById(ranges, F.col("part")).groupBy("part").applyInArrow(lambda x: _answer(x, frequent, chunked), "dest int, chunk long, kind int, blob binary, heat binary")
+    answered = asked.repartitionById(ranges, F.col("part")).groupBy("part").applyInArrow(lambda x: _answer(x, frequent, chunked), "dest int, chunk long, part int, kind int, blob binary, heat binary")
     indexed = answered.repartitionById(chunked, F.col("dest")).groupBy("dest", "chunk").applyInArrow(lambda x: _index(x, t, total, lists, together), "kind int, part int, blob binary")
     met = cut_lineage(indexed.repartitionById(lists, F.col("part")).groupBy("kind", "part").applyInArrow(lambda x: _meet(x, t, lists, block), "kind int, part int, blob binary, other binary"))
     width = shuffle_width(texts.sparkSession)

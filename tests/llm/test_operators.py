@@ -6,6 +6,8 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from siltlog.llm import chat, decontam, embdedup, jaccard, licenses, linededup, mixing, pii, quality, queries, tokencount
@@ -543,6 +545,34 @@ def test_index_loses_no_pair(t, together):
         assert shared >= need or met, (len(a), len(b))
 
 
+def test_heat_of_tokens(monkeypatch):
+    """Chunks ask how many sets have each token, ranges answer, and each chunk puts its sets together again."""
+    monkeypatch.setattr(jaccard.TaskContext, "get", lambda: type("Task", (), {"partitionId": staticmethod(lambda: 3)}))
+    rng = random.Random(1)
+    texts = [prose(rng, rng.randrange(1, 80)) for _ in range(300)] + ["same words here"] * 3 + [""]
+    asked = pa.Table.from_batches(jaccard._ask([pa.record_batch([pa.array(texts[i::5])], names=["text"]) for i in range(5)], 2, 7, 3000))
+    answered = pa.concat_tables(jaccard._answer(asked.filter(pc.equal(asked.column("part"), p)), 3, 4) for p in range(7) if p in asked.column("part").to_pylist())
+    tokens, bounds = jaccard.gram_sets(texts)
+    sets = {frozenset((tokens[a:b] & jaccard._40).tolist()) for a, b in zip(bounds, bounds[1:]) if b > a}
+    df = {}
+    for x in sets:
+        for k in x:
+            df[k] = df.get(k, 0) + 1
+    found = []
+
+    def spy(tokens, owner, heat, sizes, *rest, real=jaccard.postings):
+        assert [math.isclose(h, min(255, round(8 * math.log2(df[k]))) if df[k] >= 3 else 0) for k, h in zip(tokens.tolist(), heat.tolist())].count(False) == 0
+        found.extend(frozenset(tokens[owner == d].tolist()) for d in range(len(sizes)))
+        assert [len(x) for x in found[-len(sizes) :]] == sizes.tolist()
+        return real(tokens, owner, heat, sizes, *rest)
+
+    monkeypatch.setattr(jaccard, "postings", spy)
+    chunks = set(answered.column("chunk").to_pylist())
+    for c in chunks:
+        jaccard._index(answered.filter(pc.equal(answered.column("chunk"), c)), 0.6, 300, 5, 32)
+    assert len(chunks) > 2 and len(found) == len(sets) and set(found) == sets
+
+
 def test_bitmaps_tell_most_apart():
     rng = np.random.default_rng(13)
     for n, m in [(50, 60), (300, 300), (300, 450), (5000, 6000)]:
