@@ -204,20 +204,28 @@ def near_pairs(vectors: DataFrame, dim: int, t: float = THRESHOLD, forest: bool
         ordered = not whole or table.column("i")[0].as_py() == table.column("j")[0].as_py()
         x = _matrix(table.column("v"), dim)
         left, right = (np.flatnonzero(table.column(c).to_numpy()) for c in ("left", "right"))
-        out = []
-        for lo in range(0, len(left), 1024):
-            a = left[lo : lo + 1024]
-            for at in range(0, len(right), 8192):
-                b = right[at : at + 8192]
-                cos = x[a] @ x[b].T
-                p, q = np.nonzero(cos >= t)
-                u, w = a[p], b[q]
+        out, held = [], 0
+        y = np.ascontiguousarray(x[right].T)
+        for lo in range(0, len(left), 256):
+            a = left[lo : lo + 256]
+            z = x[a]
+            for at in range(0, len(right), 4096):
+                b = right[at : at + 4096]
+                cos = (z @ y[:, at : at + 4096]).ravel()
+                near = np.flatnonzero(cos >= t)
+                if not len(near):
+                    continue
+                u, w = a[near // len(b)], b[near % len(b)]
                 good = np.where(home[w] & ordered, keys[u] < keys[w], keys[u] != keys[w])
                 edges = np.stack([np.minimum(keys[u], keys[w])[good], np.maximum(keys[u], keys[w])[good]])
                 if forest:
-                    out.append(np.stack([c.to_numpy() for c in _forest(edges, ("a", "b")).columns]) if edges.shape[1] else edges)
+                    out.append(edges)
+                    held += edges.shape[1]
+                    if held > 1_000_000:  # only what connects them is kept
+                        out = [np.stack([c.to_numpy() for c in _forest(np.concatenate(out, axis=1), ("a", "b")).columns])]
+                        held = out[0].shape[1]
                 else:
-                    out.append((*edges, cos[p, q][good].astype(float)))
+                    out.append((*edges, cos[near][good].astype(float)))
         if forest:
             return _forest(np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64), ("a", "b"))
         a, b, c = (np.concatenate(y) for y in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
