@@ -30,7 +30,7 @@ class Store:
     that searches don't split texts again.
 
     The log's last entry says which segment is written, how many events it has and the greatest offset, so a batch costs the same
-    however large the store is. Each batch claims the next entry, by creating a file that must not exist yet, and with it a range of offsets of its own;
+    however large the store is (numbered events are looked for in the folders of their days). Each batch claims the next entry, by creating a file that must not exist yet, and with it a range of offsets of its own;
     then it writes a folder that nobody else writes. A batch of a stream remembers its claim under the stream's id and its number: tried again, it replaces its own
     events and nothing else. A claim that is never used leaves a gap in the offsets."""
 
@@ -118,7 +118,7 @@ class Store:
         while True:
             with _LOCK:
                 h = self.head()
-                full = self.rotation and h["count"] >= self.rotation
+                full = self.rotation and rows and h["count"] >= self.rotation  # so each segment but the first has events
                 base = h["offset"]
                 new = {"version": h["version"] + 1, "segment": h["segment"] + bool(full), "count": (0 if full else h["count"]) + rows, "offset": max(base, top) if top is not None else base + rows, "base": base}
                 if self._create(f"{self.path}/log/{new['version']:020d}", new):
@@ -146,7 +146,7 @@ class Store:
         if numbered:
             rows = df.dropDuplicates(["ts", "evid_offset"])
             days = [r[0] for r in rows.select(F.to_date("ts")).distinct().collect()]
-            if self.segments():
+            if self.head()["version"] and self.segments():
                 known = self.spark.read.parquet(self.events_path).filter(F.col("day").isin(days))
                 if before:
                     known = known.filter(F.col("batch") != before["key"])
@@ -169,7 +169,9 @@ class Store:
 
     def expire(self) -> list[int]:
         """Delete the oldest segments beyond ``retention``; which ones is returned."""
-        old = self.segments()[: -self.retention] if self.retention else []
+        if not self.retention:
+            return []
+        old = sorted(int(n.partition("=")[2]) for n in self._names(self.events_path) if n.startswith("segment="))[: -self.retention]
         for s in old:
             self._drop(f"{self.events_path}/segment={s}")
         return old
