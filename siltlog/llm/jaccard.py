@@ -46,6 +46,8 @@ FREQUENT = 8
 HOT = 32
 #: Tokens that a task indexes together, and tokens in a range; the number of ranges follows from the input.
 CHUNK_TOKENS, RANGE_TOKENS = 1_000_000, 2_000_000
+#: Tokens in what a chunk sends to a range, at least; tasks of a shuffle, at most.
+ROW_TOKENS, TASKS = 200, 20_000
 #: Entries of a posting list that are paired in one place.
 LONG = 2048
 #: Sets in a connected part of the candidates up to which it is verified in one place.
@@ -441,7 +443,7 @@ def _meet(table: pa.Table, t: float, parts: int, block: int) -> pa.Table:
     must share over all ranges (kind 0), and pairs of blocks of long lists (kind 1)."""
     kind = table.column("kind")[0].as_py()
     if kind == 2:  # bitmaps pass through
-        return table.append_column("other", pa.nulls(len(table), pa.binary()))
+        return table.select(["kind", "part", "blob"]).append_column("other", pa.nulls(len(table), pa.binary()))
     got, base = [], 0
     for blob in _blobs(table):
         sig, own, before, ids, sizes, lacks = unpack(blob, 5, 3, 4, 8, 3, 3)
@@ -525,22 +527,35 @@ def _settle(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(a[cuts][good].view(np.int64)), "b": pa.array(b[cuts][good].view(np.int64))})
 
 
+def _dealt(df: DataFrame, parts: int) -> DataFrame:
+    """Partitioned by ``part``, each in a partition of its own if there are no more than TASKS; ``to`` is the partition."""
+    n = min(parts, TASKS)
+    return df.withColumn("to", F.pmod("part", F.lit(n)).cast("int")).repartitionById(n, F.col("to"))
+
+
 def candidates(texts: DataFrame, n: int, t: float) -> tuple[DataFrame, int]:
     """(a, b): pairs of ids of sets that may be similar; and the number of ranges, which grows with the texts."""
     rows, chars = texts.agg(F.count("*"), F.sum(F.length("text"))).first()
-    total, frequent, together, block, at_once = rows, FREQUENT, HOT, LONG, CHUNK_TOKENS
-    ranges = max(1, -(-(chars or 0) // (6 * RANGE_TOKENS)))
+    total, frequent, together, block = rows, FREQUENT, HOT, LONG
+    about = (chars or 0) // 6
+    # a chunk sends a row to each range: of very many tokens both are larger, for rows to hold ROW_TOKENS
+    grown = max(1.0, math.sqrt(ROW_TOKENS * about / (CHUNK_TOKENS * RANGE_TOKENS)))
+    at_once = int(CHUNK_TOKENS * grown)
+    ranges = max(1, math.ceil(about / (RANGE_TOKENS * grown)))
     lists = -(-ranges * 2 // 5)  # two fifths of the tokens are indexed, about
-    # each range and nearly each chunk gets a task of its own, so what a task reads is the same for any input
-    chunked = 2 * max(1, (chars or 0) // (6 * at_once))
+    deals = 4 * lists
+    # each range and nearly each chunk gets a task of its own, up to TASKS, so what a task holds is the same for any input
+    chunked = min(TASKS, 2 * max(1, about // at_once))
     asked = texts.mapInArrow(lambda batches: _ask(batches, n, ranges, at_once), "part int, chunk long, kind int, blob binary")
-    answered = asked.repartitionById(ranges, F.col("part")).groupBy("part").applyInArrow(lambda x: _answer(x, frequent, chunked), "dest int, chunk long, part int, kind int, blob binary, heat binary")
+    answered = _dealt(asked, ranges).groupBy("to", "part").applyInArrow(lambda x: _answer(x, frequent, chunked), "dest int, chunk long, part int, kind int, blob binary, heat binary")
     indexed = answered.repartitionById(chunked, F.col("dest")).groupBy("dest", "chunk").applyInArrow(lambda x: _index(x, t, total, lists, together), "kind int, part int, blob binary")
-    met = cut_lineage(indexed.repartitionById(lists, F.col("part")).groupBy("kind", "part").applyInArrow(lambda x: _meet(x, t, lists, block), "kind int, part int, blob binary, other binary"))
-    width = shuffle_width(texts.sparkSession)
-    long = met.where("kind = 1").select("blob", "other").repartition(4 * width).mapInArrow(lambda batches: _meet_blocks(batches, t, lists), "part int, pairs binary")
-    pairs = met.where("kind = 0").select("part", F.col("blob").alias("pairs")).union(long)
-    settled = cut_lineage(pairs.repartitionById(lists, F.col("part")).groupBy("part").applyInArrow(_settle, "a long, b long"))
+    met = cut_lineage(_dealt(indexed, lists).groupBy("to", "kind", "part").applyInArrow(lambda x: _meet(x, t, deals, block), "kind int, part int, blob binary, other binary"))
+    pairs = met.where("kind = 0").select("part", F.col("blob").alias("pairs"))
+    long = met.where("kind = 1").select("blob", "other")
+    if not long.isEmpty():
+        dealt = long.repartition(4 * shuffle_width(texts.sparkSession))
+        pairs = pairs.union(dealt.mapInArrow(lambda batches: _meet_blocks(batches, t, deals), "part int, pairs binary"))
+    settled = cut_lineage(_dealt(pairs, deals).groupBy("to", "part").applyInArrow(_settle, "a long, b long"))
     maps = met.where("kind = 2").select("blob").mapInArrow(_bitmap_rows, "id long, size int, bits binary").groupBy("id").agg(F.first("size").alias("size"), F.first("bits").alias("bits"))
     for end in "ab":
         settled = settled.join(maps.select(F.col("id").alias(end), F.col("size").alias(f"size_{end}"), F.col("bits").alias(f"bits_{end}")), end)
