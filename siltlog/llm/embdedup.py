@@ -115,11 +115,12 @@ def _visits(x: np.ndarray, centres: np.ndarray, apart: np.ndarray, reach) -> tup
     return home, visit
 
 
-def _placed(vectors: DataFrame, dim: int, cells: int, far: float) -> DataFrame:
+def _placed(vectors: DataFrame, dim: int, cells: int, far: float, limit: float = math.inf) -> DataFrame | None:
     """(cell, home, k, v): each vector in its home cell and in those whose border is within half the distance of near duplicates, so of two that are on
     either side of a border, one visits the other's home at least. With more than MAX_CENTRES cells there are two levels: a vector visits the cells of a
     first one in this way, and the cells into which its home there is divided. In a cell of the first level that is not its home, it visits
-    those within the whole distance, as those who live there needn't come to it."""
+    those within the whole distance, as those who live there needn't come to it. None if more than ``limit`` comparisons would be made in the cells of the first level, which
+    is counted before any vector is sent."""
     top = cells if cells <= MAX_CENTRES else math.ceil(math.sqrt(cells))
     centres = kmeans(vectors, dim, top)
     apart = _apart(centres)
@@ -132,6 +133,20 @@ def _placed(vectors: DataFrame, dim: int, cells: int, far: float) -> DataFrame:
                 row, cell = np.nonzero(visit)
                 yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int64)), pa.array(cell == home[row]), *part.take(pa.array(row)).columns], names=["cell", "home", "k", "v"])
 
+    def tally(batches):
+        there, native = np.zeros(len(centres), np.int64), np.zeros(len(centres), np.int64)
+        for b in batches:
+            for lo in range(0, b.num_rows, 1024):
+                home, visit = _visits(_matrix(b.slice(lo, 1024).column(1), dim), centres, apart, far / 2)
+                there += visit.sum(axis=0)
+                native += np.bincount(home, minlength=len(centres))
+        some = np.flatnonzero(there)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(there[some].astype(float)), pa.array(native[some].astype(float))], names=["cell", "n", "h"])
+
+    if limit < math.inf:
+        by = vectors.mapInArrow(tally, "cell long, n double, h double").groupBy("cell").agg(F.sum("n").alias("n"), F.sum("h").alias("h"))
+        if (by.agg(F.sum(F.col("n") * F.col("h"))).first()[0] or 0) > limit:
+            return None
     placed = cut_lineage(vectors.mapInArrow(assign, "cell long, home boolean, k long, v binary"))
     if cells == top:
         return placed
@@ -178,10 +193,7 @@ def near_pairs(vectors: DataFrame, dim: int, t: float = THRESHOLD, forest: bool
     far = math.sqrt(max(0.0, 2 - 2 * t))
     placed = None
     if cells > 1:
-        placed = _placed(vectors, dim, cells, far)
-        by = placed.groupBy("cell").agg(F.count("*").alias("n"), F.sum(F.col("home").cast("double")).alias("h"))
-        if (by.agg(F.sum(F.col("n") * F.col("h"))).first()[0] or 0) > n * n / 2:
-            placed = None
+        placed = _placed(vectors, dim, cells, far, n * n / 2)
     whole = placed is None
     if whole:
         placed = vectors.select(F.lit(0).cast("long").alias("cell"), F.lit(True).alias("home"), "k", "v")

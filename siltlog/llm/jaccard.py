@@ -50,8 +50,8 @@ CHUNK_TOKENS, RANGE_TOKENS = 1_000_000, 2_000_000
 ROW_TOKENS, TASKS = 200, 20_000
 #: Entries of a posting list that are paired in one place.
 LONG = 2048
-#: Sets in a connected part of the candidates up to which it is verified in one place.
-LARGE_PART = 5_000
+#: Sets, and pairs, in a connected part of the candidates up to which it is verified in one place.
+LARGE_PART, LARGE_PAIRS = 5_000, 50_000
 _40, _48 = U((1 << 40) - 1), U((1 << 48) - 1)
 
 
@@ -597,7 +597,9 @@ def _verified(texts: DataFrame, n: int, t: float, compare, out: str, weights: Da
     parts = cands.join(roots.select("root", F.col("node").alias("a")), "a", "left").withColumn("root", F.coalesce("root", "a"))
     parts = cut_lineage(parts)
     nodes = parts.select("root", F.col("a").alias("id")).union(parts.select("root", F.col("b").alias("id"))).distinct()
-    big = nodes.groupBy("root").agg(F.ceil(F.count("*") / LARGE_PART).cast("int").alias("groups")).where("groups > 1")
+    size = nodes.groupBy("root").agg(F.count("*").alias("n")).join(parts.groupBy("root").agg(F.count("*").alias("m")), "root")
+    groups = F.ceil(F.greatest(F.col("n") / LARGE_PART, F.sqrt(F.col("m") / LARGE_PAIRS)))
+    big = size.select("root", groups.cast("int").alias("groups")).where("groups > 1")
     parts = parts.join(big, "root", "left").withColumn("groups", F.coalesce("groups", F.lit(1)))
     group = lambda c: F.pmod(F.xxhash64(c), F.col("groups"))
     cells = max(4 * ranges, shuffle_width(texts.sparkSession))

@@ -606,7 +606,7 @@ def test_jaccard_awkward(spark):
 
 
 def test_large_parts_and_stars(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "LARGE_PART", 3)
+    monkeypatch.setattr(jaccard, "LARGE_PAIRS", 20)
     monkeypatch.setattr(jaccard, "ONE_TASK", 5)
     base = prose(random.Random(6), 100).split()
     texts = [" ".join([*base[:i], "changed", *base[i + 1 :]]) for i in range(0, 60, 3)]
