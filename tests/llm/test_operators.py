@@ -594,6 +594,63 @@ def test_hot_lists(spark, monkeypatch):
     assert got == brute_classes(list(range(len(texts))), sets, jaccard.THRESHOLD) and max(x[2] for x in got) > 20
 
 
+@pytest.mark.parametrize("dense,tile", [(3, 4), (8, 1000)])
+def test_families(spark, monkeypatch, dense, tile):
+    """Lists of similar sets give families, whose pairs are compared in tiles: each pair once, none lost, those between families and of other lists neither."""
+    for name, value in [("FREQUENT", 2), ("HOT", 4), ("DENSE", dense), ("TILE", tile), ("CHUNK_TOKENS", 5000), ("RANGE_TOKENS", 8000)]:
+        monkeypatch.setattr(jaccard, name, value)
+    rng = random.Random(21)
+    texts = near_texts(rng, 25, [3, 9, 30, 60])
+    for m in (12, 60, 150):
+        base = prose(rng, m).split()
+        for _ in range(30):  # some of these are less similar than the threshold
+            w = list(base)
+            for _ in range(rng.randrange(1 + m // 6)):
+                w[rng.randrange(m)] = rng.choice(WORDS)
+            texts.append(" ".join(w))
+    sets = [gram_set(x, jaccard.N) for x in texts]
+    tiles = []
+    monkeypatch.setattr(jaccard, "_tiles", lambda *a, real=jaccard._tiles: tiles.append(real(*a)) or tiles[-1])
+    docs = table(spark, texts)
+    want = brute_classes(list(range(len(texts))), sets, jaccard.THRESHOLD)
+    assert sorted(map(tuple, jaccard.jaccard_classes(docs).collect())) == want
+    assert tiles[0].select("id").distinct().count() > (40 if dense == 3 else 20) and tiles[0].select("family", "i", "j").distinct().count() >= (20 if tile == 4 else 1)
+    assert {r.doc_id for r in jaccard.keep_one(docs).collect()} == {i for i, root, _ in want if i == root}
+    first = {s: i for i, s in reversed(list(enumerate(sets))) if s}
+    near = {(min(i, j), max(i, j)): len(a & b) / len(a | b) for (a, i), (b, j) in itertools.combinations(first.items(), 2) if len(a & b) / len(a | b) >= jaccard.THRESHOLD - 1e-12}
+    got = [tuple(r) for r in jaccard.jaccard_join(docs).collect() if sets[r.doc_id] != sets[r.other_id]]
+    assert len(got) == len(near) and all(math.isclose(near[i, j], x) for i, j, x in got)
+
+
+def test_large_groups_make_no_pairs_of_lists():
+    """A list of near copies, however long, gives edges in proportion to its sets; one of sets that share little gives pairs that bitmaps let through."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 40, 100).astype(np.uint64)
+    for kept, similar in [(95, True), (30, False)]:
+        n, sizes = 600, np.full(600, 100, np.int64)
+        tokens = np.concatenate([np.concatenate([base[:kept], rng.integers(0, 1 << 40, 100 - kept).astype(np.uint64)]) for _ in range(n)])
+        ids, none = np.sort(rng.integers(1, 1 << 63, n).astype(np.uint64)), np.zeros(n, np.uint64)
+        words = jaccard.sketches(tokens, np.repeat(np.arange(n), 100), sizes)
+        assert (jaccard.padded(words[jaccard._filled(sizes)], sizes) == words).all()
+        blob = jaccard.pack((jaccard.steps(np.full(n, 7, np.uint64)), 5), (np.arange(n), 3), (none, 4), (jaccard.steps(ids), 8), (sizes, 3), (none, 3), (words[jaccard._filled(sizes)], 8))
+        met = jaccard._meet(pa.table({"kind": pa.array([1], pa.int32()), "part": pa.array([0], pa.int32()), "blob": pa.array([blob], pa.binary())}), 0.6, 1, 2048)
+        rows = dict(zip(met.column("kind").to_pylist(), jaccard._blobs(met)))
+        if similar:
+            a, b = jaccard.unpack(rows[3], 8, 8)
+            assert set(rows) == {3} and set(a.tolist()) | set(b.tolist()) == set(ids.tolist()) and len(a) == n - 1
+        else:
+            assert 3 not in rows and (0 not in rows or len(jaccard.unpack(rows[0], 8, 4, 3, 3)[2]) < n)
+
+
+def test_overlaps(monkeypatch):
+    monkeypatch.setattr(jaccard, "COLUMNS", 7)
+    rng = np.random.default_rng(4)
+    draw = lambda: np.unique(np.minimum(rng.integers(0, 40, 30), rng.integers(0, 4000, 30))).astype(np.uint64) * np.uint64(77)
+    a, b = [draw() for _ in range(50)], [draw() for _ in range(31)]
+    assert jaccard.overlaps(a, b).tolist() == [[len(set(x.tolist()) & set(y.tolist())) for y in b] for x in a]
+    assert jaccard.overlaps(a, []).shape == (50, 0)
+
+
 def test_jaccard_awkward(spark):
     a = awkward(spark)
     assert jaccard.keep_one(a).columns == a.columns
