@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 import re
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -642,6 +643,20 @@ def test_large_groups_make_no_pairs_of_lists():
             assert 3 not in rows and (0 not in rows or len(jaccard.unpack(rows[0], 8, 4, 3, 3)[2]) < n)
 
 
+def test_lists_in_turns(spark, monkeypatch):
+    """Lists sent in turns give what they give at once, and what was cut for them is deleted."""
+    for name, value in [("FREQUENT", 2), ("HOT", 4), ("TURN", 0.5), ("CHUNK_TOKENS", 5000), ("RANGE_TOKENS", 4000)]:
+        monkeypatch.setattr(jaccard, name, value)
+    texts = near_texts(random.Random(8), 25, [3, 9, 30, 60])
+    sets, cut = [gram_set(x, jaccard.N) for x in texts], []
+    monkeypatch.setattr(jaccard, "cut_lineage", lambda df, real=jaccard.cut_lineage: cut.append(real(df)) or cut[-1])
+    got = sorted(map(tuple, jaccard.jaccard_classes(table(spark, texts)).collect()))
+    assert got == brute_classes(list(range(len(texts))), sets, jaccard.THRESHOLD)
+    there = lambda df: Path(df._jdf.queryExecution().logical().rdd().getCheckpointFile().get().removeprefix("file:")).exists()
+    whole, met = ([df for df in cut if c in df.columns] for c in ("lists", "other"))
+    assert len(whole) == 1 and len(met) > 1 and not any(there(df) for df in whole + met) and there(cut[0])
+
+
 def test_overlaps(monkeypatch):
     monkeypatch.setattr(jaccard, "COLUMNS", 7)
     rng = np.random.default_rng(4)
