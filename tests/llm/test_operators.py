@@ -643,6 +643,19 @@ def test_large_groups_make_no_pairs_of_lists():
             assert 3 not in rows and (0 not in rows or len(jaccard.unpack(rows[0], 8, 4, 3, 3)[2]) < n)
 
 
+def test_families_pairs_stand_in_no_other_list():
+    """A short list of sets that a long one shows to be near copies gives no pairs of them."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 40, 100).astype(np.uint64)
+    n, sizes = 200, np.full(200, 100, np.int64)
+    tokens = np.concatenate([np.concatenate([rng.choice(base, 95, replace=False), rng.integers(0, 1 << 40, 5).astype(np.uint64)]) for _ in range(n)])
+    words, ids = jaccard.sketches(tokens, np.repeat(np.arange(n), 100), sizes), np.sort(rng.integers(1, 1 << 62, n).astype(np.uint64))
+    sig, own = np.repeat(np.array([7, 9], np.uint64), [n, 50]), np.concatenate([np.arange(n), np.arange(50)])
+    blob = jaccard.pack((jaccard.steps(sig), 5), (own, 3), (np.zeros(len(sig), np.uint64), 4), (jaccard.steps(ids), 8), (sizes, 3), (np.zeros(n, np.uint64), 3), (words[jaccard._filled(sizes)], 8))
+    met = jaccard._meet(pa.table({"kind": pa.array([1], pa.int32()), "part": pa.array([0], pa.int32()), "blob": pa.array([blob], pa.binary())}), 0.6, 1, 2048)
+    assert met.column("kind").to_pylist() == [3]
+
+
 def test_lists_in_turns(spark, monkeypatch):
     """Lists sent in turns give what they give at once, and what was cut for them is deleted."""
     for name, value in [("FREQUENT", 2), ("HOT", 4), ("TURN", 0.5), ("CHUNK_TOKENS", 5000), ("RANGE_TOKENS", 4000)]:
